@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlark.llm.bpe import bpe_round_trip
 from paperlark.llm.common import table
 from paperlark.llm.sharding import minimax_shards
+from paperlark.llm.token_counts import token_counts
 
 
 def op9_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,8 +20,20 @@ def op9_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded with the word BPE vocabulary and decoded again."""
+    return bpe_round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's number of tokens of the piece vocabulary."""
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_minimax_shards": op9_minimax_shards,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}

@@ -60,28 +60,36 @@ class Ends:
         return low
 
     def doubts(self, n: int) -> list[tuple[int, int]]:
-        """Hidden stretches that a walk within the bracket of capacities may end in."""
+        """The stretches, n at most and apart from one another, that a walk within the bracket of capacities may end in, where ends are hidden."""
         low, high = self.smallest(n, True), self.smallest(n, False)
-        out, first, last = [], 0, 0
+        spans, first, last = [], 0, 0
         for _ in range(n):
             first, last = self.gap(min(self.total, first + low))[0], min(self.total, last + high)
-            a, b = self.gap(first)[0], self.gap(last)[1]
-            out += [(x, y) for x, y in self.hidden if x < b and y > a]
+            a, b = first, self.gap(last)[1]
+            if any(x < b and y > a for x, y in self.hidden):
+                if spans and a <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+                else:
+                    spans.append((a, b))
             if first >= self.total:
                 break
-        return sorted(set(out))
+        return spans
 
-    def add(self, old: list[tuple[int, int]], blocks: list[tuple[int, int, int]]) -> None:
-        """blocks: first end, last end and number of ends of each finer stretch of the old hidden ones."""
-        self.hidden = sorted((set(self.hidden) - set(old)) | {(a, b) for a, b, n in blocks if n > 2})
+    def add(self, spans: list[tuple[int, int]], blocks: list[tuple[int, int, int]]) -> None:
+        """blocks: first end, last end and number of ends of each finer block of the spans."""
+        rest = [(max(x, y0), min(y, y1)) for x, y in self.hidden for y0, y1 in self._outside(spans) if x < y1 and y > y0]
+        self.hidden = sorted({*rest, *((a, b) for a, b, n in blocks if n > 2)})
         self.known = sorted({*self.known, *(a for a, _, _ in blocks), *(b for _, b, _ in blocks)})
 
+    def _outside(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        edges = [0, *(x for span in spans for x in span), self.total]
+        return [*zip(edges[::2], edges[1::2])]
+
 
 def _find_cuts(groups: DataFrame, total: int, n_shards: int, blocks: int) -> list[int]:
     """The ends of the shards; groups has one row for each group with its end."""
     ends = Ends(total)
     while doubts := ends.doubts(n_shards):
-        # a fixed number of spans bounds the filter; what lies between two near stretches is known already
         width = max(1, sum(b - a for a, b in doubts) // blocks)
         span: Column = F.lit(None)
         for a, b in doubts:

@@ -28,9 +28,9 @@ from paperlark.llm.common import fresh, whole
 LONG = 64
 CACHED = 400_000
 #: Unicode's White_Space; the word pattern of the vocabulary file.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
-END = ""
+END = "\ue000"
 
 
 def byte_signs() -> list[str]:
@@ -106,6 +106,13 @@ class WordBPE:
             out.append(found)
         return out[0] if len(out) == 1 else b"".join(out)
 
+    def chunks_of(self, part: str) -> list[str]:
+        """What stands between white spaces, in NFC and lower case."""
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each sign is lowered for itself
+        part = part.lower()
+        return self.spaces.split(part) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text; a special string in it has its own id."""
         out = []
@@ -113,9 +120,7 @@ class WordBPE:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each sign is lowered for itself
-            chunks = self.spaces.split(part.lower()) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.lower().split()
+            chunks = self.chunks_of(part)
             known = self.chunks
             for c in {*chunks}.difference(known) if len(chunks) > 32 else [c for c in chunks if c not in known]:
                 known[c] = self.chunk(c)

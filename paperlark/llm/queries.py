@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from paperlark.llm.bpe import bpe_round_trip
 from paperlark.llm.common import table
+from paperlark.llm.packing import pack
+from paperlark.llm.png_media import media_table
 from paperlark.llm.sharding import minimax_shards
 from paperlark.llm.token_counts import token_counts
 
@@ -20,6 +22,17 @@ def op9_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_png_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a PNG, read back and hashed."""
+    found = media_table(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+
+
+def op5_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048)
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded with the word BPE vocabulary and decoded again."""
     return bpe_round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -31,6 +44,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_png_media": op2_png_media,
+    "op5_concatenate_and_cut": op5_concatenate_and_cut,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_token_counts": op10_token_counts,

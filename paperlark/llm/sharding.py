@@ -90,13 +90,12 @@ def _find_cuts(groups: DataFrame, total: int, n_shards: int, blocks: int) -> lis
     """The ends of the shards; groups has one row for each group with its end."""
     ends = Ends(total)
     while doubts := ends.doubts(n_shards):
-        width = max(1, sum(b - a for a, b in doubts) // blocks)
-        span: Column = F.lit(None)
-        for a, b in doubts:
-            span = F.when((F.col("end") > a) & (F.col("end") < b), F.lit(a)).otherwise(span)
+        share = max(2, blocks // len(doubts))
+        block: Column = F.lit(None)
+        for k, (a, b) in enumerate(doubts):
+            block = F.when((F.col("end") > a) & (F.col("end") < b), k * share + F.floor((F.col("end") - a) * share / (b - a))).otherwise(block)
         found = (
-            groups.select("end", span.alias("span")).where("span is not null")
-            .groupBy("span", F.floor((F.col("end") - F.col("span")) / width).alias("block"))
+            groups.select("end", block.alias("block")).where("block is not null").groupBy("block")
             .agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count("*").alias("n")).collect()
         )
         ends.add(doubts, [(r.a, r.b, r.n) for r in found])

@@ -17,8 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paperlark.llm.common import fresh, whole
+from paperlark.llm.common import cut, fresh, whole
 
 #: Names of the statistics, in the order of the vector.
 STATISTICS = (
@@ -60,7 +61,7 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def statistics_udf(text: pd.Series) -> pd.Series:
     """Column of texts -> column of vectors of STATISTICS."""
     return pd.Series([statistics(t) for t in text], dtype=object)
@@ -105,7 +106,7 @@ def make_qda(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, to_pool
     return QDA(means, np.array(factors), np.array(log_dets), np.log(shares), tempered)
 
 
-def fit_qda(labelled: DataFrame, *, vector_col: str = "statistics", label_col: str = "quality", to_pooled: float = 0.3, to_diagonal: float = 0.1, tempered: float = 0.5) -> QDA | None:
+def fit_qda(labelled: DataFrame, *, vector_col: str = "statistics", label_col: str = "quality", to_pooled: float = 0.1, to_diagonal: float = 0.05, tempered: float = 0.5) -> QDA | None:
     """Learn from rows with a vector and a label 0 or 1, all of them; other labels and null ones are left out.
 
     None where a class has no rows: then there is nothing to tell apart.
@@ -150,3 +151,18 @@ def quality_score(vector: Column, model: QDA | None, spark) -> Column:
 def with_statistics(docs: DataFrame, *, text_col: str = "text", vector_col: str = "statistics") -> DataFrame:
     """docs with one more column, vector_col (renamed with underscores where docs has one). A null text counts as empty."""
     return docs.withColumn(fresh(docs, vector_col), statistics_udf(whole(text_col)))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **shrinkage: float) -> tuple[DataFrame, QDA | None]:
+    """The statistics of docs (columns id and statistics, cut from their lineage) and what is learned from those that labels marks."""
+    vectors = cut(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "statistics"))
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    return vectors, fit_qda(vectors.join(marks, "id"), label_col="label", **shrinkage)
+
+
+def score_quality(docs: DataFrame, model: QDA | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with one more column, score_col (renamed with underscores where docs has one): 0 to 1, higher is likelier label 1.
+
+    Null texts score as empty ones, every text 0.5 without a model. Repeated rows stay; an empty table stays empty.
+    """
+    return docs.withColumn(fresh(docs, score_col), quality_score(statistics_udf(whole(text_col)), model, docs.sparkSession))

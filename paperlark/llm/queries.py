@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlark.llm.bpe import bpe_round_trip
-from paperlark.llm.common import table
+from paperlark.llm.common import crc_fold, table
 from paperlark.llm.packing import pack
 from paperlark.llm.png_media import media_table
+from paperlark.llm.qda import fit_quality, quality_score
 from paperlark.llm.sharding import minimax_shards
 from paperlark.llm.token_counts import token_counts
+from paperlark.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op9_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +24,18 @@ def op9_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _judged(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", (crc_fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_quality_qda(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality; rows whose id's crc32 is divisible by 5 are held out of the fit."""
+    labels = table(spark, folder, "labels").where(crc_fold("doc_id") != 0)
+    vectors, model = fit_quality(table(spark, folder, "documents"), labels)
+    scored = vectors.select(F.col("id").alias("doc_id"), quality_score(F.col("statistics"), model, spark).alias("score"))
+    return _judged(scored, 0.3)
+
+
 def op2_png_media(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a PNG, read back and hashed."""
     found = media_table(table(spark, folder, "documents"))
@@ -33,6 +47,13 @@ def op5_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048)
 
 
+def op7_toxicity_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity; rows whose id's crc32 is divisible by 5 are held out of the fit."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, folder, "labels").where(crc_fold("doc_id") != 0))
+    return _judged(score_toxicity(docs, model), 0.5)
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded with the word BPE vocabulary and decoded again."""
     return bpe_round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -44,8 +65,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_qda": op1_quality_qda,
     "op2_png_media": op2_png_media,
     "op5_concatenate_and_cut": op5_concatenate_and_cut,
+    "op7_toxicity_nbsvm": op7_toxicity_nbsvm,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_token_counts": op10_token_counts,

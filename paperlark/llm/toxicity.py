@@ -107,15 +107,16 @@ def fit_logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y:
     return w[:d], float(w[d])
 
 
-def fit_toxicity(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = 12_000, grams: Grams = Grams(), least_ratio: float = 1.0, smooth: float = 1.0, penalty: float = 1e-5, steps: int = 100) -> ToxicityModel:
-    """Learn from labelled texts with a label 0 or 1; rows with a null label are left out, a null text counts as empty.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = 12_000, grams: Grams = Grams(), least_ratio: float = 1.0, smooth: float = 1.0, penalty: float = 1e-5, steps: int = 100) -> ToxicityModel:
+    """Learn from the texts of docs that labels (id_col, label_col) marks 0 or 1; other labels are left out, a null text counts as empty.
 
-    At most ``sample`` rows are used: those with the smallest hash of their id. Without rows of both labels every text
-    gets the share of label 1 (0.5 without any rows).
+    At most ``sample`` labels are used: those with the smallest hash of their id. So what the driver fits on is bounded.
+    Without texts of both labels every text gets the share of label 1 (0.5 without any).
     """
-    spark = labelled.sparkSession
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(whole(text_col).alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col)).alias("h"))
-    rows = rows.orderBy("h", "text").limit(sample).select("text", "y")
+    spark = docs.sparkSession
+    ids = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    ids = ids.orderBy(F.xxhash64("id"), "id", "y").limit(sample)  # so few rows may be broadcast
+    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "y")
     rows = rows.repartition(max(2, min(64, sample // 500))).persist()
     size = 1 << grams.bits
     try:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from paperlark.llm.bpe import bpe_round_trip
 from paperlark.llm.common import crc_fold, table
+from paperlark.llm.minhash import near_duplicates
 from paperlark.llm.packing import pack
 from paperlark.llm.png_media import media_table
 from paperlark.llm.qda import fit_quality, quality_score
 from paperlark.llm.sharding import minimax_shards
 from paperlark.llm.token_counts import token_counts
 from paperlark.llm.toxicity import fit_toxicity, score_toxicity
+from paperlark.llm.voronoi import top_products
 
 
 def op9_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,11 +44,21 @@ def op2_png_media(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
 
 
+def op4_voronoi_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten largest products of every hundredth vector with all others."""
+    return top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op5_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048)
 
 
+def op6_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_toxicity_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's toxicity; rows whose id's crc32 is divisible by 5 are held out of the fit."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -67,11 +79,27 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_qda": op1_quality_qda,
     "op2_png_media": op2_png_media,
+    "op4_voronoi_top_products": op4_voronoi_top_products,
     "op5_concatenate_and_cut": op5_concatenate_and_cut,
+    "op6_minhash_near_duplicates": op6_minhash_near_duplicates,
     "op7_toxicity_nbsvm": op7_toxicity_nbsvm,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_voronoi_top_products": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, v.vec_id,
+                cast(list_sum(list_transform(list_zip(q.e, v.e), lambda t: t[1] * t[2])) as bigint) as score
+            from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0
+        )
+        select query_id, cast(rank as integer) as rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        where rank <= 10""",
+}

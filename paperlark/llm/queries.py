@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlark.llm import kneser_ney
 from paperlark.llm.bpe import bpe_round_trip
 from paperlark.llm.common import crc_fold, table
 from paperlark.llm.minhash import near_duplicates
@@ -44,6 +45,13 @@ def op2_png_media(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
 
 
+def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's probability; rows whose id's crc32 leaves 1 modulo 5 are held out of the counts."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = kneser_ney.fit(docs.where(crc_fold("doc_id") != 1))
+    return kneser_ney.score(docs, model).select("doc_id", (crc_fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_voronoi_top_products(spark: SparkSession, folder: str) -> DataFrame:
     """The ten largest products of every hundredth vector with all others."""
     return top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
@@ -79,6 +87,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_qda": op1_quality_qda,
     "op2_png_media": op2_png_media,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_voronoi_top_products": op4_voronoi_top_products,
     "op5_concatenate_and_cut": op5_concatenate_and_cut,
     "op6_minhash_near_duplicates": op6_minhash_near_duplicates,

@@ -15,15 +15,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlark.llm.bpe import CACHED, WordBPE
+from paperlark.llm.bpe import WordBPE
 from paperlark.llm.common import shared_dir, whole
 
+#: Chunks whose ids a worker keeps: some 200 bytes each.
+LIBRARY_CACHED = 1_000_000
+#: Partitions whose bases, some 16 bytes each, are broadcast; beyond it they are joined.
+BROADCAST_PARTS = 1_000_000
+
 
 class LibraryWords(WordBPE):
     """The ids that the tokenizers library gives, asked for once a chunk between white spaces."""
@@ -36,20 +40,18 @@ class LibraryWords(WordBPE):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
 
-    def learn(self, texts: list[str]) -> None:
-        """Put the ids of the chunks of these texts that are still unknown into the cache."""
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        new: set[str] = set()
-        for text in texts:
-            for part in self.split.split(text) if "<" in text else (text,):
-                if part not in self.special:
-                    new.update(self.chunks_of(part))
-        ask = [c for c in new if c not in self.chunks]
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the library is asked once for all chunks that are new."""
+        known = self.chunks
+        if len(known) > LIBRARY_CACHED:
+            known.clear()
+        cut = [None if "<" in t and self.split.search(t) else self.chunks_of(t) for t in texts]
+        ask = [*{c for chunks in cut if chunks for c in chunks if c not in known}]
         for i in range(0, len(ask), 20_000):
             some = ask[i : i + 20_000]
             for c, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+                known[c] = np.array(e.ids, "<u4").tobytes()
+        return [self.encode(t) if chunks is None else np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for t, chunks in zip(texts, cut)]
 
     def chunk(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,7 +62,7 @@ def load(path: str) -> LibraryWords:
     return LibraryWords(path)
 
 
-def _tokenize(path: str, end_id: int, id_type: pa.DataType):
+def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = load(path), TaskContext.get().partitionId(), 0
         kind = np.dtype("<u2") if len(words.ids) + len(words.special) <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
@@ -68,8 +70,7 @@ def _tokenize(path: str, end_id: int, id_type: pa.DataType):
             for first in range(0, batch.num_rows, 512):  # memory holds few documents' ids at a time
                 some = batch.slice(first, 512)
                 texts = some.column(1).to_pylist()
-                words.learn(texts)
-                ids = [np.append(words.encode(t), np.uint32(end_id)).astype(kind) for t in texts]
+                ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in words.encode_all(texts)]
                 sizes = np.array([len(x) for x in ids], "int64")
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
@@ -113,13 +114,14 @@ def pack(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, id_
     slim = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     written = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
-    slim.mapInArrow(_tokenize(path, end_id, None), f"id {kind}, part int, start long, doc_tokens long, width int, ids binary").write.option("compression", "zstd").parquet(written)
+    slim.mapInArrow(_tokenize(path, end_id), f"id {kind}, part int, start long, doc_tokens long, width int, ids binary").write.option("compression", "zstd").parquet(written)
     tokens = spark.read.schema(f"id {kind}, part int, start long, doc_tokens long, width int, ids binary").parquet(written)
     bases, at = [], 0
     for r in tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).orderBy("part").collect():
         bases.append((r.part, at))
         at += r.n
-    placed = tokens.join(spark.createDataFrame(pd.DataFrame(bases, columns=["part", "base"]).astype({"part": "int32", "base": "int64"}) if bases else [], "part int, base long"), "part")
+    base = spark.createDataFrame(bases, "part int, base long")
+    placed = tokens.join(F.broadcast(base) if len(bases) <= BROADCAST_PARTS else base, "part")
     return placed.select("id", (F.col("start") + F.col("base")).alias("start"), "doc_tokens", "width", "ids").mapInArrow(
         _cut(length), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     ).withColumnRenamed("id", id_col)

@@ -1,10 +1,383 @@
-"""The registered queries of the library's own operators and their SQL oracles."""
+"""The registered queries of the library's own operators and their SQL oracles.
+
+Each query applies one operator to whole benchmark tables that stand in for the purchase model (``standins``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperlark.functions import dates, money, names, text
+from paperlark.operators import analytics as A
+from paperlark.operators import ingest as I
+from paperlark.operators import matching as M
+from paperlark.operators import receipts as R
+from paperlark.plans import standins as S
+from paperlark.sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Fixed days of the reports, so that results do not depend on the clock: 1997-01-01 and 1998-03-15.
+START, TODAY = 852076800000, "1998-03-15"
+
+
+def query(sql: str | None = None, *, model: bool = True):
+    """Register a function under its name; sql follows the stand-in relations unless model is False."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (S.SQL if model else "") + sql
+        return f
+
+    return keep
+
+
+# --- reports
+
+
+@query("select name, min(category) as category, min(raw_key) as raw_key, count(*) as n, cast(sum(price - discount) as bigint) as spent, arg_max(price - discount, lpad(cast(purchased_at as varchar), 20, '0') || id) as last_price, max(purchased_at) as last_at from bought group by name")
+def product_summaries(spark, d):
+    return A.product_summaries(S.items(spark, d), S.receipts(spark, d))
+
+
+@query("select r.id, store, branch, purchased_at, total, warning, coalesce(n, 0) as item_count from receipts r left join (select receipt_id, count(*) as n from items group by 1) on r.id = receipt_id")
+def receipt_list_counts(spark, d):
+    return A.receipt_list(S.receipts(spark, d), S.items(spark, d))
+
+
+_HISTORY = "select id, receipt_id, raw_name, raw_key, name, category, quantity, price, discount, store, branch, purchased_at, price - discount as final_price, cast(case when quantity > 0 then trunc((price - discount) / quantity) else price - discount end as bigint) as per_unit from bought where "
+_HISTORY_COLUMNS = ("id", "receipt_id", "raw_name", "raw_key", "name", "category", "quantity", "price", "discount", "store", "branch", "purchased_at", "final_price", "per_unit")
+
+
+@query(_HISTORY + "raw_key = '7'")
+def price_history(spark, d):
+    return A.price_history(S.items(spark, d), S.receipts(spark, d), raw_key="7").select(*_HISTORY_COLUMNS)
+
+
+@query("select raw_key, min(raw_name) as raw_name, min(name) as name, count(*) as n from items group by raw_key")
+def raw_names(spark, d):
+    return A.raw_names(S.items(spark, d))
+
+
+@query("select category, cast(sum(price - discount) as bigint) as spent, count(*) as n from bought group by category")
+def category_sums_all(spark, d):
+    return A.category_sums(S.items(spark, d), S.receipts(spark, d))
+
+
+@query(f"select category, cast(sum(price - discount) as bigint) as spent, count(*) as n from bought where purchased_at >= {START} group by category")
+def category_sums_from(spark, d):
+    return A.category_sums(S.items(spark, d), S.receipts(spark, d), START)
+
+
+@query("select strftime(make_timestamp(purchased_at * 1000), '%Y-%m') as month, cast(sum(total) as bigint) as spent, count(*) as receipts from receipts where purchased_at is not null group by 1 order by 1 desc limit 24")
+def month_sums_top24(spark, d):
+    return A.month_sums(S.receipts(spark, d))
+
+
+@query(f"select cast(coalesce(sum(total), 0) as bigint) as total from receipts where purchased_at >= {START}")
+def total_spent_from(spark, d):
+    return A.total_of(S.receipts(spark, d), "total", START)
+
+
+@query(f"select cast(coalesce(sum(total_discount), 0) as bigint) as total_discount from receipts where purchased_at >= {START}")
+def total_saved_from(spark, d):
+    return A.total_of(S.receipts(spark, d), "total_discount", START)
+
+
+@query("select store, raw_key, min(raw_name) as raw_name, min(name) as name, count(*) as n from bought where catalog_id is null and raw_key not in (select raw_key from mappings) group by 1, 2")
+def unmatched_items(spark, d):
+    return A.unmatched_items(S.items(spark, d), S.receipts(spark, d), S.mappings(spark, d))
+
+
+@query("select count(distinct raw_key) as n from items where catalog_id is null and raw_key not in (select raw_key from mappings)")
+def unmatched_count(spark, d):
+    return A.unmatched_count(S.items(spark, d), S.mappings(spark, d))
+
+
+@query("select cast(e.s_suppkey as varchar) as ean, p_partkey as product_id, p_name as name from part join supplier e on p_partkey = e.s_suppkey", model=False)
+def catalog_by_ean(spark, d):
+    products = S.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"))
+    eans = S.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ean"), F.col("s_suppkey").alias("product_id"))
+    return A.catalog_by_ean(products, eans).select("ean", "product_id", "name")
+
+
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
+
+
+@query(f"select coalesce({_MONTHS}[cast(month(make_timestamp(purchased_at * 1000)) as int)] || ' ' || year(make_timestamp(purchased_at * 1000)), 'Bez data') as title, cast(sum(total) as bigint) as total, count(*) as n from receipts group by 1")
+def month_groups(spark, d):
+    return A.month_groups(S.receipts(spark, d))
+
+
+@query("""select name, count(*) as n, cast(sum(price - discount) as bigint) as spent, cast(sum(pu) as bigint) // count(*) as avg_unit, min(pu) as min_unit, max(pu) as max_unit,
+    count(*) filter (discount > 0) as discounted, cast(sum(discount) as bigint) as saved, count(distinct raw_name) as spellings
+    from (select *, cast(case when quantity > 0 then trunc((price - discount) / quantity) else price - discount end as bigint) as pu from bought) group by name""")
+def product_detail_stats(spark, d):
+    return A.product_detail(S.items(spark, d), S.receipts(spark, d)).drop("raw_names")
+
+
+@query("select raw_key, count(*) as n, cast(sum(price - discount) as bigint) // count(*) as mean_price, max(purchased_at) as last_at from bought group by raw_key")
+def linked_product_stats(spark, d):
+    return A.linked_stats(S.items(spark, d), S.receipts(spark, d))
+
+
+@query("select category, spent, greatest(0.01, least(1.0, cast(spent as double) / greatest(max(spent) over (), 1))) as ratio from (select category, cast(sum(price - discount) as bigint) as spent from bought group by 1)")
+def category_bars(spark, d):
+    return A.category_bars(A.category_sums(S.items(spark, d), S.receipts(spark, d)))
+
+
+@query("select doc_id, lang, source from documents where contains(strip_accents(lower(text)), 'cion') and lang = 'es'", model=False)
+def products_search(spark, d):
+    docs = S.table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.col("lang").alias("category"))
+    return A.search(docs, "CIÓN", "es", "text").select("doc_id", "lang", "source")
+
+
+@query(f"select count(*) filter (o_orderdate >= date_trunc('month', timestamp '{TODAY}')) as month, count(*) filter (o_orderdate >= timestamp '{TODAY}' - interval 12 month) as year, count(*) as all_time from orders", model=False)
+def date_range_presets(spark, d):
+    today = F.lit(TODAY).cast("timestamp")
+    at = F.col("o_orderdate").cast("timestamp")
+    return S.table(spark, d, "orders").agg(F.count_if(at >= dates.range_start("month", today)).alias("month"), F.count_if(at >= dates.range_start("year", today)).alias("year"), F.count("*").alias("all_time"))
+
+
+@query("""select count(*) as total, count(*) filter (event_type = 'purchase') as saved, count(*) filter (event_type = 'view') as duplicates, count(*) filter (event_type = 'error') as failed,
+    count(*) filter (event_type = 'purchase' and value > 50) as with_warnings, max(event_id) filter (event_type = 'purchase') as last_saved_id, arg_max(props, event_id) filter (event_type = 'error') as last_error from events""", model=False)
+def import_outcome_counts(spark, d):
+    outcome = F.when(F.col("event_type") == "purchase", "saved").when(F.col("event_type") == "view", "duplicate").when(F.col("event_type") == "error", "failed").otherwise("other")
+    found = S.table(spark, d, "events").select(F.col("event_id").alias("seq"), outcome.alias("outcome"), F.col("event_id").alias("saved_id"), (F.col("value") > 50).alias("warned"), F.col("props").alias("error"))
+    return A.import_outcomes(found)
+
+
+@query("select receipt_id, list_sort(list(price))[count(*) // 2 + 1] as upper_median from items group by receipt_id")
+def upper_median(spark, d):
+    return A.upper_median(S.items(spark, d), ["receipt_id"], "price")
+
+
+# --- changes
+
+
+@query("select o_custkey, arg_max(o_totalprice, o_orderkey) as o_totalprice, max(o_orderkey) as o_orderkey from orders group by 1", model=False)
+def upsert_last_wins(spark, d):
+    orders = S.table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
+    old, new = orders.where("o_orderkey % 3 = 0"), orders.withColumn("seq", F.col("o_orderkey"))
+    return I.upsert(old, new, ["o_custkey"])
+
+
+@query("select receipt_id, id, case when receipt_id % 5 = 0 then price + 1 else price end as price from items where receipt_id % 5 <> 0 or position = 1")
+def replace_items(spark, d):
+    items = S.items(spark, d).select("receipt_id", "id", "position", "price")
+    children = items.where("receipt_id % 5 <> 0 or position = 1").select("receipt_id").distinct()
+    new = items.where("receipt_id % 5 = 0 and position = 1").withColumn("price", F.col("price") + 1)
+    # receipts of the fifth kind that get no new items lose theirs
+    kept = items.join(children, "receipt_id", "left_semi")
+    return I.replace_children(kept, new).select("receipt_id", "id", "price")
+
+
+@query("select (select count(*) from receipts where id % 7 <> 0) as receipts, (select count(*) from items where receipt_id % 7 <> 0) as items")
+def cascade_delete(spark, d):
+    receipts = S.receipts(spark, d)
+    left, rest = I.delete_cascade(receipts, S.items(spark, d), receipts.where("id % 7 = 0"))
+    return left.agg(F.count("*").alias("receipts")).join(F.broadcast(rest.agg(F.count("*").alias("items"))))
+
+
+@query("select i.id, coalesce(m.name, i.name) as name, coalesce(m.category, i.category) as category from items i left join mappings m on i.raw_key = m.raw_key")
+def rename_all(spark, d):
+    return I.rename_all(S.items(spark, d), S.mappings(spark, d)).select("id", "name", "category")
+
+
+@query("select i.id, coalesce(i.image_url, m.image_url) as image_url from items i left join mappings m on i.raw_key = m.raw_key")
+def fill_image(spark, d):
+    return I.fill_images(S.items(spark, d), S.mappings(spark, d)).select("id", "image_url")
+
+
+@query("""select event_id, case when user_id % 10 = 0 then 'saved' when user_id % 11 = 0 then 'duplicate'
+    when event_id = min(event_id) over (partition by user_id) then 'saved' else 'duplicate' end as outcome from events""", model=False)
+def first_wins_dedupe(spark, d):
+    events = S.table(spark, d, "events")
+    parsed = events.select("event_id", F.col("event_id").alias("seq"), F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string")).alias("unique_key"), F.col("event_id").alias("total"), F.array().cast("array<int>").alias("items"))
+    stored = events.where("user_id % 11 = 0 and user_id % 10 <> 0").select(F.col("user_id").cast("string").alias("unique_key"))
+    return I.split_new(parsed, stored).select("event_id", "outcome")
+
+
+@query("select r.id, cast(coalesce(s, 0) as bigint) as items_sum, abs(coalesce(s, 0) - total) > 100 as differs from receipts r left join (select receipt_id, sum(price - discount) as s from items group by 1) on r.id = receipt_id")
+def check_totals(spark, d):
+    return I.check_totals(S.receipts(spark, d), S.items(spark, d))
+
+
+@query("select receipt_id, max(position) + 1 as position from items group by 1")
+def next_position(spark, d):
+    return I.next_position(S.items(spark, d))
+
+
+@query("""select p_partkey as code, case when p_size <= 10 then 'local' when p_size <= 20 then 'catalog' when p_size <= 30 then 'online' else 'unknown' end as source,
+    case when p_size <= 10 then 'L ' || p_name when p_size <= 20 then 'C ' || p_name when p_size <= 30 then 'O ' || p_name end as name from part""", model=False)
+def barcode_lookup(spark, d):
+    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("code"), "p_name", "p_size")
+    named = lambda sign, least: part.where(F.col("p_size") <= least).select("code", F.concat(F.lit(sign + " "), "p_name").alias("name"), F.lit("OSTATNI").alias("category"))
+    hosts = F.explode(F.array(*[F.struct(F.lit(r).alias("host_rank"), F.lit(s).alias("status")) for r, s in ((0, 0), (1, 1), (2, 1))]))
+    online = named("O", 30).withColumn("h", hosts).select("code", "h.*", F.when(F.col("h.host_rank") == 1, F.col("name")).otherwise(F.lit("other")).alias("name"), "category")
+    catalog = named("C", 20).withColumnRenamed("code", "product_id")
+    return I.look_up(part.select("code"), named("L", 10).withColumnRenamed("code", "barcode"), catalog, catalog.select(F.col("product_id").alias("ean"), "product_id"), online).select("code", "source", "name")
+
+
+# --- names
+
+
+@query(r"""select doc_id, fold, translate(replace(fold, ' ', ''), 'li|!o', '11110') as folded from (select doc_id,
+    trim(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'áéíóúñüäöàâçèêëîïôûùÿ', 'aeiounuaoaaceeeiiouuy'), '\s*\.\s*', '.', 'g'), '\s+', ' ', 'g')), '[.,:;*]+$', '')) as fold from documents)""", model=False)
+def name_key_fold(spark, d):
+    docs = S.table(spark, d, "documents")
+    return docs.select("doc_id", text.name_key(F.col("text")).alias("fold"), text.fold(F.col("text")).alias("folded"))
+
+
+_NOISY = "case when p_partkey % 3 = 0 then replace(p_name, 'l', '1') when p_partkey % 3 = 1 then p_name || 'x' else p_name end"
+
+
+@query(rf"""with e as (select p_brand as store, min(p_partkey) as seq, p_name as alias, translate(replace(lower(p_name), ' ', ''), 'li|!o', '11110') as f from part group by 1, 3),
+    q as (select p_partkey, p_brand as store, translate(replace(lower({_NOISY}), ' ', ''), 'li|!o', '11110') as f from part),
+    own as (select p_partkey, arg_min(alias, seq + 1000000000.0 * levenshtein(q.f, e.f)) as alias from q join e on q.store = e.store
+        where q.f = e.f or (length(q.f) >= 6 and substr(q.f, 1, 2) = substr(e.f, 1, 2) and abs(length(q.f) - length(e.f)) <= case when length(q.f) >= 16 then 2 else 1 end and levenshtein(q.f, e.f) <= case when length(q.f) >= 16 then 2 else 1 end) group by 1),
+    everywhere as (select p_partkey, arg_min(alias, seq + 1000000000.0 * levenshtein(q.f, e.f)) as alias from q join e on true
+        where q.f = e.f or (length(q.f) >= 6 and substr(q.f, 1, 2) = substr(e.f, 1, 2) and abs(length(q.f) - length(e.f)) <= case when length(q.f) >= 16 then 2 else 1 end and levenshtein(q.f, e.f) <= case when length(q.f) >= 16 then 2 else 1 end) group by 1)
+    select q.p_partkey, coalesce(own.alias, everywhere.alias) as alias from q left join own using (p_partkey) left join everywhere using (p_partkey)""", model=False)
+def fuzzy_match(spark, d):
+    part = S.table(spark, d, "part")
+    entries = part.groupBy(F.col("p_brand").alias("store"), F.col("p_name").alias("alias")).agg(F.min("p_partkey").alias("seq")).withColumn("product_id", F.col("alias"))
+    asked = part.select("p_partkey", F.col("p_brand").alias("store"), F.expr(_NOISY).alias("name"))
+    return M.match_names(asked, entries).select("p_partkey", F.col("product_id").alias("alias"))
+
+
+_TOKENS = "list_distinct(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: length(t) >= 3), lambda t: substr(t, 1, 5)))"
+
+
+@query(f"""with n as (select p_name as raw_key, {_TOKENS.format("p_name")} as b, min(p_partkey) as seq from part group by 1, 2),
+    p as (select distinct p_type as name, {_TOKENS.format("p_type || ' ' || p_name")} as a, p_name as brand from part where p_size = 7),
+    s as (select name, brand, raw_key, seq, cast(len(list_filter(a, lambda x: len(list_filter(b, lambda y: starts_with(x, y) or starts_with(y, x))) > 0)) as double) / least(len(a), len(b)) as score from p join n on true)
+    select name, brand, cast(rank as integer) as rank, raw_key, score from (select *, row_number() over (partition by name, brand order by score desc, seq) as rank from s where score >= 0.5) where rank <= 5""", model=False)
+def name_similarity_top5(spark, d):
+    part = S.table(spark, d, "part")
+    known = part.groupBy(F.col("p_name").alias("raw_key")).agg(F.min("p_partkey").alias("seq")).withColumns({"raw_name": F.col("raw_key"), "name": F.col("raw_key")})
+    wanted = part.where("p_size = 7").select(F.col("p_type").alias("name"), F.col("p_name").alias("brand")).distinct()
+    return M.suggest(wanted, known, keys=["name", "brand"])
+
+
+def _case(table, column):
+    from paperlark.functions.names import _plain
+
+    return "case " + " ".join("when " + " or ".join(f"contains({column}, '{w}')" for w in dict.fromkeys(map(_plain, words))) + f" then '{c}'" for c, words in table)
+
+
+_KEYWORD_CASE = _case(names.KEYWORDS, "t") + " else 'OSTATNI' end"
+
+
+@query(f"select conv_id, turn, {_KEYWORD_CASE} as category from (select conv_id, turn, ' ' || strip_accents(lower(text)) || ' ' as t from conversations)", model=False)
+def keyword_category(spark, d):
+    return S.table(spark, d, "conversations").select("conv_id", "turn", names.categorize(F.col("text")).alias("category"))
+
+
+@query(f"select page_id, {_case(names.TAGS, 'g')} else {_KEYWORD_CASE} end as category from (select page_id, lower(url) as g, ' ' || strip_accents(lower(url)) || ' ' as t from pages)", model=False)
+def tag_category(spark, d):
+    return S.table(spark, d, "pages").select("page_id", names.categorize_tags(F.array("url"), F.col("url")).alias("category"))
+
+
+@query()
+def expand_abbrev(spark, d):
+    """Every document's lines spelt out; no SQL: a dictionary over extracted tokens. The tests hold it against a plain version."""
+    lines = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", names.expand(F.col("line")).alias("expanded"))
+
+
+@query("""select i.id, case when m.name is not null then m.name when i.catalog_id is not null then i.catalog_id else i.name end as name,
+    coalesce(m.image_url, i.image_url) as image_url from items i left join mappings m on i.raw_key = m.raw_key""")
+def name_precedence(spark, d):
+    told = S.mappings(spark, d).select("raw_key", F.col("name").alias("mapped"), F.col("image_url").alias("mapped_image"))
+    found = S.items(spark, d).join(told, "raw_key", "left")
+    return found.select("id", F.coalesce("mapped", "catalog_id", "name").alias("name"), F.coalesce("mapped_image", "image_url").alias("image_url"))
+
+
+# --- scalars
+
+
+@query(r"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint) as parsed from lineitem""", model=False)
+def money_parse(spark, d):
+    lines = S.table(spark, d, "lineitem")
+    shown = F.concat(F.lit(" "), F.replace(F.format_string("%.2f", "l_extendedprice"), F.lit("."), F.lit(",")))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.parse_money(shown).alias("parsed"))
+
+
+@query("select o_orderkey, replace(replace(format('{:,}', c // 100), ',', chr(160)), '.', '') || ',' || lpad(cast(c % 100 as varchar), 2, '0') || ' Kč' as shown from (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as c from orders)", model=False)
+def money_format(spark, d):
+    return S.table(spark, d, "orders").select("o_orderkey", money.format_money(S.cents("o_totalprice")).alias("shown"))
+
+
+@query("select o_orderkey, date_trunc('minute', o_orderdate) as moment, epoch_ms(date_trunc('minute', o_orderdate)) as millis from orders", model=False)
+def date_extract(spark, d):
+    printed = F.concat(F.lit("x 01.01.99 1:00 "), F.date_format("o_orderdate", "dd.MM.yyyy H:mm"), F.lit(" konec"))
+    found = S.table(spark, d, "orders").select("o_orderkey", dates.find_date(printed).alias("moment"))
+    return found.withColumn("millis", dates.to_millis(F.col("moment")))
+
+
+@query("select id, cast(case when quantity > 0 then floor((price - discount) / quantity + 0.5) else price - discount end as bigint) as unit_price from items")
+def unit_price(spark, d):
+    return S.items(spark, d).select("id", money.unit_price(F.lit(None).cast("long"), A.final_price(), F.col("quantity")).alias("unit_price"))
+
+
+@query("select id, cast(cast(quantity as bigint) as varchar) || ' ks' as shown, replace(printf('%.3f kg', quantity), '.', ',') as weighed from items")
+def qty_format(spark, d):
+    return S.items(spark, d).select("id", money.format_quantity(F.col("quantity"), F.col("unit")).alias("shown"), money.format_quantity(F.col("quantity"), F.lit("kg")).alias("weighed"))
+
+
+@query("select p_partkey, cast(floor(p_retailprice) as bigint) * 100 + 50 as cents from part", model=False)
+def user_price(spark, d):
+    typed = F.concat(F.floor("p_retailprice").cast("string"), F.lit(".5 Kč"))
+    return S.table(spark, d, "part").select("p_partkey", money.parse_user_price(typed).alias("cents"))
+
+
+# --- receipts
+
+
+@query()
+def receipt_parse(spark, d):
+    """Every document parsed as a receipt, one line a row. No SQL: a fold; the tests hold it against golden receipts."""
+    docs = S.table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("rows"))
+    found = R.parse_receipts(docs)
+    return found.select("doc_id", "store", "branch", "purchased_at", "total", "subtotal", "total_discount", "payment", "receipt_number", "unique_key", F.size("items").alias("n_items"), F.array_join("warnings", " ").alias("warnings"))
+
+
+@query()
+def receipt_score(spark, d):
+    """Every document's likeness to a receipt. No SQL: Unicode classes and lookups of the line grammar."""
+    return S.table(spark, d, "documents").select("doc_id", R.receipt_score(F.split("text", "\n")).alias("score"))
+
+
+@query()
+def row_builder(spark, d):
+    """Rows rebuilt from positioned words, one document a line item's receipt. No SQL: order-dependent running means."""
+    i = S.items(spark, d)
+    x, y = (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("float") for k, n in ((1, 1000), (2, 300)))
+    words = i.select(F.col("receipt_id").alias("doc_id"), "position", F.col("name").alias("text"), x.alias("left"), y.alias("top"), (x + 50).cast("float").alias("right"), (y + 20).cast("float").alias("bottom"), F.lit(0.0).cast("float").alias("angle"), F.xxhash64("id").alias("seq"))
+    return R.build_rows(words).select("doc_id", F.array_join("rows", "\n").alias("rows"))
+
+
+# --- exports
+
+
+@query(r"""select id, strftime(make_timestamp(purchased_at * 1000), '%Y-%m-%d %H:%M') || ';"' || store || '";"' || branch || '";"' || raw_name || '";"' || name || '";"Ostatní";' || replace(cast(quantity as varchar), '.', ',') || ';ks;' ||
+    replace(format('{:,}', price // 100), ',', chr(160)) || ',' || lpad(cast(price % 100 as varchar), 2, '0') || ';' || replace(format('{:,}', discount // 100), ',', chr(160)) || ',' || lpad(cast(discount % 100 as varchar), 2, '0') || ';' ||
+    replace(format('{:,}', (price - discount) // 100), ',', chr(160)) || ',' || lpad(cast((price - discount) % 100 as varchar), 2, '0') as line from bought""")
+def all_items_export(spark, d):
+    return exports.item_lines(A.with_receipts(S.items(spark, d), S.receipts(spark, d))).select("id", "line")
+
+
+@query("""select line from (
+    select store || ' | ' || min(raw_name) || ' | ' || count(*) as line from bought where catalog_id is null and raw_key not in (select raw_key from mappings) group by store, raw_key
+    union all select 'EAN | ' || s_suppkey from supplier
+    union all select '# Formát: obchod | název na účtence | počet nákupů' union all select '' union all select '' union all select '# Čárové kódy'
+    union all select '# Obchodsken – nerozpoznané produkty (' || (select count(*) from (select distinct store, raw_key from bought where catalog_id is null and raw_key not in (select raw_key from mappings))) || ' položek, ' || (select count(*) from supplier) || ' kódů)')""")
+def unmatched_export(spark, d):
+    found = A.unmatched_items(S.items(spark, d), S.receipts(spark, d), S.mappings(spark, d))
+    codes = S.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_suppkey").alias("scanned_at"))
+    return exports.unmatched_lines(found, codes).select("line")

@@ -17,6 +17,7 @@ from paperlark.operators import matching as M
 from paperlark.operators import receipts as R
 from paperlark.plans import standins as S
 from paperlark.sources import exports
+from paperlark.streaming import imports as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -362,6 +363,25 @@ def row_builder(spark, d):
     return R.build_rows(words).select("doc_id", F.array_join("rows", "\n").alias("rows"))
 
 
+# --- streams
+
+
+def _event_stream(spark, d):
+    schema = S.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+
+
+@query("select event_type as outcome, count(*) as n from events group by 1", model=False)
+def stream_counts(spark, d):
+    return streams.drain_counts(streams.running_counts(_event_stream(spark, d).select(F.col("event_type").alias("outcome"))))
+
+
+@query("select distinct cast(user_id as varchar) as unique_key from events where user_id % 10 <> 0 union all select null from events where user_id % 10 = 0", model=False)
+def stream_dedupe(spark, d):
+    keyed = _event_stream(spark, d).select(F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string")).alias("unique_key"))
+    return streams.drain(streams.first_seen(keyed))
+
+
 # --- exports
 
 

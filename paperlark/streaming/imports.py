@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from paperlark.operators.ingest import split_new
 
 def watch_folder(spark: SparkSession, path: str, schema: str, files_at_once: int = 64) -> DataFrame:
     """A stream of the Parquet files that arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", True).parquet(path)
 
 
 def running_counts(stream: DataFrame, column: str = "outcome") -> DataFrame:
@@ -47,8 +49,21 @@ def save_batches(stream: DataFrame, folder: str, checkpoint: str, parse: Callabl
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now and give its result as a table in memory."""
-    spark = stream.sparkSession
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def checkpoint_dir(spark: SparkSession) -> str:
+    """A new folder under the cluster's shared one; a temporary one only where none is set, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="paperlark-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def drain_counts(counts: DataFrame) -> DataFrame:
+    """Run a stream of running counts over all that is there now; its few rows come as a table in memory."""
+    spark, name = counts.sparkSession, f"counts_{uuid.uuid4().hex}"
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint_dir(spark)).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream that only appends over all that is there now, into Parquet in the shared folder."""
+    folder = checkpoint_dir(stream.sparkSession)
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -7,10 +7,11 @@ value. Rounds go on until all bins are filled; from round t on every element goe
 all. Two sketches agree in a bin with the chance of the sets' Jaccard similarity. ``bands`` bands of ``rows`` bins are
 hashed to buckets; with 40 bands of 6, a pair of similarity 0.85 shares no bucket with chance (1 - 0.85^6)^40 < 1e-8.
 
-Buckets of up to ``small`` classes are compared pair by pair. In larger ones no pairs are spread out. Round by round a few
-members, the pivots, are compared with the members not yet in their component and then leave the bucket, until the
-rest is one component, so no link that would join two components is missed. Members leave sooner by an exact bound: runs
-of words that no other class of any large bucket has cannot be shared, and whoever has too many of them reaches nobody.
+Buckets of up to ``small`` classes are compared pair by pair. Larger ones that share members make one group, whose
+members are dealt to blocks of bounded size; each pair of blocks is one task, which finds all intersections by products of
+incidence matrices and gives out one row for each member that is linked at all, never the pairs. Members leave before by
+an exact bound: runs of words that no other member of any group has cannot be shared, and whoever has too many of them
+reaches no set of the sizes at hand. Comparing a group of g classes takes g * g / (2 * block ** 2) small tasks.
 
 Every link is confirmed on the full sets. Components come from alternating stars.
 """
@@ -30,6 +31,7 @@ from paperlark.llm.components import stars
 from paperlark.llm.words import BASE, mix, runs, word_hashes
 
 _BATCH = 400
+_COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,9 @@ class Params:
     bands: int = 40
     rows: int = 6
     small: int = 8
+    block: int = 512
+    block_elements: int = 500_000
+    broadcast_ids: int = 2_000_000
 
     @property
     def bins(self) -> int:
@@ -52,7 +57,7 @@ def sketch(elements: np.ndarray, of: np.ndarray, n: int, t: int) -> np.ndarray:
     for i in range(2 * t):
         if not len(elements):
             break
-        h = mix(elements ^ (np.uint64(i + 1) * np.uint64(BASE)))
+        h = mix(elements ^ np.uint64((i + 1) * BASE & 0xFFFFFFFFFFFFFFFF))
         bin_ = (h >> np.uint64(44)) % np.uint64(t) if i < t else np.uint64(i - t)
         np.minimum.at(out, of * t + bin_.astype("int64") if i < t else of * t + (i - t), (np.uint64(i) << np.uint64(52)) | (mix(h) >> np.uint64(12)))
         open_ = (out.reshape(n, t) == unset).any(axis=1)
@@ -145,6 +150,44 @@ def _confirm(percent: int):
     return run
 
 
+def _compare(percent: int):
+    """Two blocks of sets -> the stars of the links between and within them, by products of incidence matrices."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node = rows["node"].to_numpy()
+        sets = [np.frombuffer(x, "uint64") for x in rows["elements"].to_pylist()]
+        size, n = np.array([len(s) for s in sets]), len(sets)
+        kinds, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times > 1
+        column = np.cumsum(shared) - 1
+        of, ok = np.repeat(np.arange(n), size), shared[at]
+        of, at = of[ok], column[at[ok]]
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+        common = np.zeros((n, n), "float32")
+        for first in range(0, int(shared.sum()), _COLUMNS):
+            a, b = np.searchsorted(at, [first, first + _COLUMNS])
+            here = np.zeros((n, _COLUMNS), "float32")
+            here[of[a:b], at[a:b] - first] = 1
+            common += here @ here.T
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        np.fill_diagonal(linked, True)
+        label = np.arange(n)
+        while True:  # the smallest number within reach; jumping makes the steps few
+            new = np.where(linked, label[None, :], n).min(axis=1)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        least = np.full(n, np.iinfo("int64").max)
+        np.minimum.at(least, label, node)
+        to = least[label]
+        keep = to != node
+        return pa.table([pa.array(node[keep]), pa.array(to[keep])], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id and kept.
 
@@ -166,8 +209,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).where("low < high").select("key", "k")
     members = cut(spread.join(shared, "key").select("key", "node", "k"))
     nodes = cut(members.groupBy("node").agg(F.max("k").alias("k")))
+    wanted = nodes.select(F.col("node").alias("id"))
+    if nodes.count() <= p.broadcast_ids:
+        wanted = F.broadcast(wanted)  # else texts are shuffled to the ids
     sets = cut(
-        slim.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(_full_sets(p), "node long, f1 long, f2 long, elements binary")
+        slim.join(wanted, "id", "left_semi").mapInArrow(_full_sets(p), "node long, f1 long, f2 long, elements binary")
         .join(classes.select("f1", "f2", "node", "n"), ["f1", "f2", "node"]).groupBy("node").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
     )
     sized = cut(members.join(sets.select("node", "n"), "node").select("key", "node", "k", "n"))
@@ -189,23 +235,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     large = sized.where(F.col("k") > p.small)
     if not large.isEmpty():
-        spoken = sets.join(large.select("node").distinct(), "node", "left_semi").select("node", "elements").mapInArrow(_elements, "node long, e int")
+        # buckets that share members make one group
+        bundles = stars(large.join(large.groupBy("key").agg(F.min("node").alias("low")), "key").select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b"))
+        inside = large.select("node").distinct().join(bundles.select(F.col("a").alias("node"), F.col("b").alias("bundle")), "node", "left").withColumn("bundle", F.coalesce("bundle", "node"))
+        full = sets.join(inside, "node")
+        spoken = full.select("node", "elements").mapInArrow(_elements, "node long, e int")
         alone = spoken.groupBy("e").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
-        large = cut(large.join(alone, "node", "left").select("key", "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("e")))
-    turn = 0
-    while not large.isEmpty():
-        named = large.join(links.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        drawn = F.xxhash64("node", "key", F.lit(turn))
-        group = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.count("*").alias("k"), F.min(drawn).alias("draw"))
-        # what reaches no other member leaves; so do buckets of one component
-        named = named.join(group.where("low < high"), "key").where(reaches(F.col("n"), F.greatest("least", F.ceil(F.col("n") * p.percent / 100)), F.col("e")))
-        named = cut(named.withColumn("pivot", (drawn == F.col("draw")) | (F.pmod(drawn, F.col("k")) < (1 << turn) - 1)).select("key", "node", "n", "e", "label", "pivot"))
-        pivots = named.where("pivot").select("key", F.col("node").alias("p"), F.col("n").alias("np"), F.col("e").alias("ep"), F.col("label").alias("lp"))
-        met = named.join(pivots, "key").where("label <> lp").where(reaches(F.col("n"), F.col("np"), F.least("e", "ep")))
-        found = confirmed(met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")))
+        # of a member with n elements, e of them shared with anyone: the largest set that it may be linked with
+        e = F.col("n") - F.coalesce("alone", F.lit(0))
+        cap = F.floor(e * 100 / p.percent).cast("long") + e - F.col("n")
+        full = cut(full.join(alone, "node", "left").select("node", "bundle", "n", "elements", cap.alias("cap")))
+        for _ in range(2):
+            # who fits with nobody of the group leaves; each may make others leave
+            sizes = full.groupBy("bundle", F.col("n").alias("m")).agg(F.max("cap").alias("most"))
+            full = full.join(sizes, (full["bundle"] == sizes["bundle"]) & (F.col("m") <= F.col("cap")) & (F.col("n") <= F.col("most")), "left_semi")
+        counts = full.groupBy("bundle").agg(F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_elements)).cast("int").alias("blocks"))
+        dealt = full.join(counts, "bundle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bundle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "elements")
+        found = dealt.groupBy("bundle", "i", "j").applyInArrow(_compare(p.percent), "a long, b long")
         links = stars(links.union(found))
-        large = cut(named.where("not pivot").select("key", "node", "n", "e"))
-        turn += 1
     label = classes.select("f1", "f2", "node").join(links.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))
     linked = all_.where("n > 0 and id is not null").select("id", "n", "f1", "f2").join(label, ["f1", "f2"]).select("id", "n", "label")
     apart = all_.where("n = 0 or id is null").select("id", "n", F.col("id").alias("label"))

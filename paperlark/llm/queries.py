@@ -98,6 +98,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_minhash_near_duplicates": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), s as (
+            select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+            from w
+        ), e as (select doc_id, unnest(s) as x from s
+        ), p as (
+            select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2
+        ), l as (
+            select a, b from p join s x on a = x.doc_id join s y on b = y.doc_id where 100 * c >= 85 * (len(x.s) + len(y.s) - c)
+        ), ways as (select a, b from l union all select b, a from l
+        ), reach(doc_id, r) as (
+            select doc_id, doc_id from s union select reach.doc_id, b from reach join ways on r = a
+        )
+        select doc_id, cast(len(s) as bigint) as n_shingles, min(r) as component_id, min(r) = doc_id as kept
+        from s join reach using (doc_id) group by doc_id, s""",
     "op4_voronoi_top_products": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e

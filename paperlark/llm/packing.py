@@ -20,11 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlark.llm.bpe import WordBPE
+from paperlark.llm.bpe import END, WordBPE
 from paperlark.llm.common import shared_dir, whole
 
 #: Chunks whose ids a worker keeps: some 200 bytes each.
-LIBRARY_CACHED = 1_000_000
+LIBRARY_CACHED = 800_000
+PIECES_CACHED = 500_000
+#: Fixed value: signs that are neither letters, digits, spaces nor the beginning of a contraction.
+MARKS = ".,;:!?#$%&*|()[]\""
 #: Partitions whose bases, some 16 bytes each, are broadcast; beyond it they are joined.
 BROADCAST_PARTS = 1_000_000
 
@@ -38,6 +41,8 @@ class LibraryWords(WordBPE):
 
         super().__init__(path)
         self.library = Tokenizer.from_file(path)
+        self.last = np.zeros(max(self.strings) + 1, bool)
+        self.last[[i for s, i in self.ids.items() if s.endswith(END)]] = True
         self.library.no_truncation(), self.library.no_padding()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -46,13 +51,31 @@ class LibraryWords(WordBPE):
         if len(known) > LIBRARY_CACHED:
             known.clear()
         cut = [None if "<" in t and self.split.search(t) else self.chunks_of(t) for t in texts]
-        ask = [*{c for chunks in cut if chunks for c in chunks if c not in known}]
-        for i in range(0, len(ask), 20_000):
-            some = ask[i : i + 20_000]
-            for c, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+        self.learn({c for chunks in cut if chunks for c in chunks if c not in known})
         return [self.encode(t) if chunks is None else np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for t, chunks in zip(texts, cut)]
 
+    def learn(self, new: set[str]) -> None:
+        """Ask the library for new chunks. A word of letters and the marks after it are apart in any text, so both are asked
+        for on their own: the words many at once, as each one's last id, and no other, ends a word."""
+        known, pieces = self.chunks, self.pieces
+        if len(pieces) > PIECES_CACHED:
+            pieces.clear()
+        ends = {c: len(c.rstrip(MARKS)) for c in new}
+        ends = {c: n for c, n in ends.items() if c[:n].isalpha()}
+        words = [*{c[:n] for c, n in ends.items() if c[:n] not in pieces}]
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
+            if len(at) != len(group) + 1:
+                raise ValueError("the vocabulary does not mark the ends of words")
+            pieces.update(zip(group, [data[x:y] for x, y in zip(at, at[1:])]))
+        rest = [*{c[n:] for c, n in ends.items() if c[n:] not in known and n < len(c)} | {c for c in new if c not in ends}]
+        for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        for c, n in ends.items():
+            known[c] = pieces[c[:n]] if n == len(c) else pieces[c[:n]] + known[c[n:]]
+
     def chunk(self, chunk: str) -> bytes:
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 

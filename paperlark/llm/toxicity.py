@@ -135,10 +135,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
             yield pd.DataFrame({"g": some, "n0": found[0][some], "n1": found[1][some]})
 
         # one row for each feature, 2 ** bits at most
-        counts = rows.mapInPandas(count, "g int, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 > 1").toPandas()
-        p, q = counts.n1.to_numpy() + smooth, counts.n0.to_numpy() + smooth
+        counts = rows.mapInPandas(count, "g int, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 > 1").toArrow()
+        p, q = counts["n1"].to_numpy() + smooth, counts["n0"].to_numpy() + smooth
         ratio = np.zeros(size, "float32")
-        ratio[counts.g.to_numpy()] = np.log(p / (n1 + 2 * smooth)) - np.log(q / (n0 + 2 * smooth))
+        ratio[counts["g"].to_numpy()] = np.log(p / (n1 + 2 * smooth)) - np.log(q / (n0 + 2 * smooth))
         ratio[np.abs(ratio) < least_ratio] = 0
         told = spark.sparkContext.broadcast(ratio)
 
@@ -150,14 +150,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
                     some = some[told.value[some] != 0]
                     yield pd.DataFrame({"y": [y], "g": [some.astype("<i4").tobytes()]})
 
-        sparse = rows.mapInPandas(pick, "y int, g binary").toPandas()
+        sparse = rows.mapInPandas(pick, "y int, g binary").toArrow()
     finally:
         rows.unpersist()
-    ids = [np.frombuffer(g, "<i4") for g in sparse.g]
+    ids = [np.frombuffer(g, "<i4") for g in sparse["g"].to_pylist()]
     nonzero = np.concatenate([*ids, np.empty(0, "int32")])
     used, dense = np.unique(nonzero, return_inverse=True)
     at = np.repeat(np.arange(len(ids)), [len(g) for g in ids])
-    w, bias = fit_logistic(at, dense, ratio[used].astype("float64"), sparse.y.to_numpy().astype("float64"), penalty, steps)
+    w, bias = fit_logistic(at, dense, ratio[used].astype("float64"), sparse["y"].to_numpy().astype("float64"), penalty, steps)
     weights = np.zeros(size, "float32")
     weights[used] = w * ratio[used]
     return ToxicityModel(grams, weights, float(bias))

@@ -7,8 +7,9 @@ vectors nearest to the pivot. A query q of a cell and a vector s differ from p b
     <p, s> - u|s|  <=  <q, s>  <=  <p, s> + u|s|.
 
 So the (k + 1)-th largest lower bound among the gathered vectors is a threshold that the k best of every query of the cell
-reach, its own row left out, and only vectors whose upper bound reaches it are sent to that cell. Cells are solved
-locally, in blocks of bounded size: a cell's queries and the vectors sent to it are dealt to as many blocks as their
+reach, its own row left out, and only vectors whose upper bound reaches it are needed there. Neighbouring cells with few
+queries make a group, and a vector that several of its cells need is sent to it once. Groups are solved
+locally, in blocks of bounded size: a group's queries and the vectors sent to it are dealt to as many blocks as their
 numbers need, so that one cell with a third of all rows, or one vector repeated in a third of them, is no large task.
 Products are whole numbers, so ties are exact.
 """
@@ -62,9 +63,25 @@ def _cells(pivots: np.ndarray):
     return run
 
 
-def _sent(pivots: np.ndarray, cells: list[int], reach: np.ndarray, least: np.ndarray):
-    """Rows (cell, id, v) for each cell with queries that the vector may be a result in."""
+def _groups(pivots: np.ndarray, counts: list[int], most: int) -> np.ndarray:
+    """The group of each cell: from one pivot to the nearest left, cells join until a group holds ``most`` queries."""
+    p, way = pivots.astype("float64"), [0]
+    while len(way) < len(counts):
+        rest = [i for i in range(len(counts)) if i not in way]
+        way.append(min(rest, key=lambda i: float(((p[i] - p[way[-1]]) ** 2).sum())))
+    out, now, held = np.zeros(len(counts), "int64"), -1, most
+    for i in way:
+        if held + counts[i] > most:
+            now, held = now + 1, 0
+        out[i], held = now, held + counts[i]
+    return out
+
+
+def _sent(pivots: np.ndarray, cells: list[int], groups: np.ndarray, reach: np.ndarray, least: np.ndarray):
+    """Rows (cell, id, v), cell being a group's number, for each group with a cell that the vector may be a result in."""
     dim, p = pivots.shape[1], pivots[cells]
+    order = np.argsort(groups, kind="stable")
+    starts = np.flatnonzero(np.diff(groups[order], prepend=-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,8 +90,9 @@ def _sent(pivots: np.ndarray, cells: list[int], reach: np.ndarray, least: np.nda
                 x = _matrix(some.column(1), dim)
                 size = np.sqrt((x.astype("float64") ** 2).sum(axis=1))
                 most = _products(x, p) + size[:, None] * reach[None, :]
-                row, k = np.nonzero(most * (1 + 1e-12) + 1e-6 + np.abs(most) * 1e-9 >= least[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(cells, "int32")[k]), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))], names=["cell", "id", "v"])
+                needed = most * (1 + 1e-12) + 1e-6 + np.abs(most) * 1e-9 >= least[None, :]
+                row, k = np.nonzero(np.logical_or.reduceat(needed[:, order], starts, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype("int32")), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))], names=["cell", "id", "v"])
 
     return run
 
@@ -119,14 +137,16 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: s
     low = _products(pivots[cells], known) - reach[:, None] * np.sqrt((known.astype("float64") ** 2).sum(axis=1))[None, :] * (1 + 1e-9)
     least = np.sort(low, axis=1)[:, -(k + 1)] if len(known) > k else np.full(len(cells), -np.inf)
 
-    sent = dealt.select("id", "v").mapInArrow(_sent(pivots, cells, reach, least), "cell int, id long, v binary")
+    groups = _groups(pivots[cells], [r.n for r in asked], params.query_block)
+    sent = dealt.select("id", "v").mapInArrow(_sent(pivots, cells, groups, reach, least), "cell int, id long, v binary")
     blocks = max(1, -(-n // params.data_block))
-    of_cell = {r.cell: -(-r.n // params.query_block) for r in asked}
-    numbers = F.create_map(*[F.lit(x) for kv in of_cell.items() for x in kv])
-    # queries go to every block of data of their cell, data to every block of queries: both numbers are few
+    held = np.bincount(groups, [r.n for r in asked]).astype("int64")
+    lookup = lambda kv: F.create_map(*[F.lit(int(x)) for pair in kv for x in pair])[F.col("cell")]
+    group, count = lookup(zip(cells, groups)), lookup(enumerate(-(-held // params.query_block)))
+    # queries go to every block of data of their group, data to every block of queries: both numbers are few
     each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    queries = dealt.where("query").select("cell", F.col("id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("id"), numbers[F.col("cell")]).cast("int").alias("qb")).withColumn("db", each(F.lit(blocks)))
-    data = sent.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", each(numbers[F.col("cell")]))
+    queries = dealt.where("query").withColumn("cell", group).select("cell", F.col("id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("id"), count).cast("int").alias("qb")).withColumn("db", each(F.lit(blocks)))
+    data = sent.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", each(count))
 
     def solve(ask: pa.Table, told: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]

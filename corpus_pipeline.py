@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlark.llm.common import crc_fold, fresh, shared_dir, table
-from paperlark.llm.minhash import near_duplicates
+from paperlark.llm.minhash import Params, near_duplicates
 from paperlark.llm.packing import pack
 from paperlark.llm.qda import fit_quality, score_quality
 from paperlark.llm.toxicity import fit_toxicity, score_toxicity
@@ -33,9 +33,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, score_col=score).where(F.col(score) >= 0.3).drop(score)
 
 
+#: Links from a similarity of 0.8 on; 61 bands of 6 miss one with chance (1 - 0.8^6)^61 < 1e-8.
+NEAR = Params(percent=80, bands=61)
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate component the document with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """Keeps of each near-duplicate component (runs of five words, similarity 0.8 or more) the document with the smallest id."""
+    gone = near_duplicates(docs, params=NEAR).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -255,13 +255,13 @@ _TOKENS = "list_distinct(list_transform(list_filter(string_split_regex(lower({0}
 
 
 @query(f"""with n as (select p_name as raw_key, {_TOKENS.format("p_name")} as b, min(p_partkey) as seq from part group by 1, 2),
-    p as (select distinct p_type as name, {_TOKENS.format("p_type || ' ' || p_name")} as a, p_name as brand from part where p_size = 7),
+    p as (select distinct p_type as name, {_TOKENS.format("p_type || ' ' || p_name")} as a, p_name as brand from part),
     s as (select name, brand, raw_key, seq, cast(len(list_filter(a, lambda x: len(list_filter(b, lambda y: starts_with(x, y) or starts_with(y, x))) > 0)) as double) / least(len(a), len(b)) as score from p join n on true)
     select name, brand, cast(rank as integer) as rank, raw_key, score from (select *, row_number() over (partition by name, brand order by score desc, seq) as rank from s where score >= 0.5) where rank <= 5""", model=False)
 def name_similarity_top5(spark, d):
     part = S.table(spark, d, "part")
     known = part.groupBy(F.col("p_name").alias("raw_key")).agg(F.min("p_partkey").alias("seq")).withColumns({"raw_name": F.col("raw_key"), "name": F.col("raw_key")})
-    wanted = part.where("p_size = 7").select(F.col("p_type").alias("name"), F.col("p_name").alias("brand")).distinct()
+    wanted = part.select(F.col("p_type").alias("name"), F.col("p_name").alias("brand")).distinct()
     return M.suggest(wanted, known, keys=["name", "brand"])
 
 

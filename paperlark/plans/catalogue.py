@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlark.functions import dates, money, names, text
+from paperlark.functions.name_tables import KNOWN_NAMES
 from paperlark.operators import analytics as A
 from paperlark.operators import ingest as I
 from paperlark.operators import matching as M
@@ -291,12 +292,53 @@ def expand_abbrev(spark, d):
     return lines.select("doc_id", "line_no", names.expand(F.col("line")).alias("expanded"))
 
 
-@query("""select i.id, case when m.name is not null then m.name when i.catalog_id is not null then i.catalog_id else i.name end as name,
-    coalesce(m.image_url, i.image_url) as image_url from items i left join mappings m on i.raw_key = m.raw_key""")
+#: Raw names by part: misread and misspelt catalog names, built-in names, and shortened ones that no list has.
+_SHOWN = """case when p_partkey % 4 = 0 then replace(p_name, 'l', '1') when p_partkey % 4 = 1 then p_name || 'x' when p_partkey % 4 = 3 then p_name || ' ' || cast(p_size as string) || 'gBS prs.'
+    when p_partkey % 8 = 6 and length(alias) >= 8 then substr(alias, 1, 3) || 'x' || substr(alias, 4) else alias end"""
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_KNOWN = ", ".join(f"({k}, '{raw}', '{name}', '{category}')" for k, (raw, name, category) in enumerate(KNOWN_NAMES))
+
+
+def _key(x):
+    return rf"trim(regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '\s*\.\s*', '.', 'g'), '\s+', ' ', 'g')), '[.,:;*]+$', ''))"
+
+
+def _fold(x):
+    return f"translate(replace({_key(x)}, ' ', ''), 'li|!o', '11110')"
+
+
+_REACH = "case when length(q.f) >= 16 then 2 else 1 end"
+_NEAR = f"(q.f = e.f or (length(q.f) >= 6 and substr(q.f, 1, 2) = substr(e.f, 1, 2) and abs(length(q.f) - length(e.f)) <= {_REACH} and levenshtein(q.f, e.f) <= {_REACH}))"
+
+
+@query(rf""", known(k, alias, full_name, full_category) as (values {_KNOWN}
+    ), raws as (select p_partkey, {_SHOWN} as raw_name, case when p_partkey % 4 = 3 then p_name || ' ' || p_size || ' g bez semen prsní' else {_SHOWN} end as spelt from part join known on k = p_partkey % 61
+    ), asked as (select i.id, r.store, raw_name, {_key("w.raw_name")} as raw_key, {_fold("w.raw_name")} as f, upper(spelt[1]) || spelt[2:] as spelt
+        from (select id, receipt_id, raw_key as part from items) i join raws w on part = cast(p_partkey as varchar) join receipts r on receipt_id = r.id
+    ), catalog as (select {list(_SEGMENTS)}[p_partkey % 5 + 1] as store, p_name as alias, min(p_partkey) as seq, 'K ' || p_name as name, min(p_type) as category, min('cat/' || p_brand) filter (p_size % 2 = 0) as image_url, min(p_brand) as brand, {_fold("p_name")} as f from part group by store, p_name
+    ), told as (select w.raw_key, m.name, m.category, m.image_url from (select {_key("raw_name")} as raw_key, min(p_partkey) as first from raws group by 1) w join mappings m on m.raw_key = cast(first as varchar)
+    ), wanted as (select distinct store, f from asked where f <> ''
+    ), own as (select q.store, q.f, arg_min(seq, seq + 1000000000.0 * levenshtein(q.f, e.f)) as seq from wanted q join catalog e on q.store = e.store where {_NEAR} group by 1, 2
+    ), everywhere as (select q.f, arg_min(seq, seq + 1000000000.0 * levenshtein(q.f, e.f)) as seq from (select distinct f from wanted) q join catalog e on true where {_NEAR} group by 1
+    ), builtin as (select q.f, arg_min(k, k + 1000000000.0 * levenshtein(q.f, e.f)) as k from (select distinct f from wanted) q join (select k, {_fold("alias")} as f from known) e on true where {_NEAR} group by 1
+    ), found as (select a.*, ' ' || strip_accents(lower(spelt || ' ' || raw_name)) || ' ' as t, coalesce(own.seq, everywhere.seq) as seq, builtin.k from asked a left join own on a.store = own.store and a.f = own.f left join everywhere on a.f = everywhere.f left join builtin on a.f = builtin.f)
+    select id, found.raw_key, coalesce(m.name, c.name, full_name, spelt) as name, case when m.name is not null then m.category when c.name is not null then c.category when full_name is not null then full_category else {_KEYWORD_CASE} end as category,
+        coalesce(m.image_url, c.image_url) as image_url, c.brand, c.store || ' ' || c.alias as catalog_id
+    from found left join told m on found.raw_key = m.raw_key left join catalog c on found.seq = c.seq left join known on found.k = known.k""")
 def name_precedence(spark, d):
-    told = S.mappings(spark, d).select("raw_key", F.col("name").alias("mapped"), F.col("image_url").alias("mapped_image"))
-    found = S.items(spark, d).join(told, "raw_key", "left")
-    return found.select("id", F.coalesce("mapped", "catalog_id", "name").alias("name"), F.coalesce("mapped_image", "image_url").alias("image_url"))
+    """Every item resolved: mapping, then catalog, then built-in names and rules. A raw name's mapping is that of its first part."""
+    part = S.table(spark, d, "part")
+    raws = part.join(M.known_names(spark).select(F.col("seq").alias("k"), "alias"), F.col("k") == F.col("p_partkey") % 61).select("p_partkey", F.expr(_SHOWN).alias("raw_name"))
+    part_key = F.col("p_partkey").cast("string")
+    items = S.items(spark, d).select("id", "receipt_id", F.col("raw_key").alias("part")).join(raws, F.col("part") == part_key)
+    items = items.join(S.receipts(spark, d).select(F.col("id").alias("receipt_id"), "store"), "receipt_id").select("id", "store", "raw_name")
+    first = raws.groupBy(text.name_key(F.col("raw_name")).alias("told")).agg(F.min("p_partkey").alias("p_partkey"))
+    mappings = first.join(S.mappings(spark, d), F.col("raw_key") == part_key).select(F.col("told").alias("raw_key"), "name", "category", "image_url")
+    store = F.element_at(F.array(*map(F.lit, _SEGMENTS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    pictured = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("cat/"), F.col("p_brand")))
+    catalog = part.groupBy(store.alias("store"), F.col("p_name").alias("alias")).agg(F.min("p_partkey").alias("seq"), F.min("p_type").alias("category"), F.min(pictured).alias("image_url"), F.min("p_brand").alias("brand"))
+    catalog = catalog.withColumns({"product_id": F.concat_ws(" ", "store", "alias"), "name": F.concat(F.lit("K "), F.col("alias"))})
+    return M.resolve_items(items, mappings, catalog, catalog).select("id", "raw_key", "name", "category", "image_url", "brand", "catalog_id")
 
 
 # --- scalars

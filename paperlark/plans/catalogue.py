@@ -51,13 +51,13 @@ def receipt_list_counts(spark, d):
     return A.receipt_list(S.receipts(spark, d), S.items(spark, d))
 
 
-_HISTORY = "select id, receipt_id, raw_name, raw_key, name, category, quantity, price, discount, store, branch, purchased_at, price - discount as final_price, cast(case when quantity > 0 then trunc((price - discount) / quantity) else price - discount end as bigint) as per_unit from bought where "
+_HISTORY = "select id, receipt_id, raw_name, raw_key, name, category, quantity, price, discount, store, branch, purchased_at, price - discount as final_price, cast(case when quantity > 0 then trunc((price - discount) / quantity) else price - discount end as bigint) as per_unit from bought"
 _HISTORY_COLUMNS = ("id", "receipt_id", "raw_name", "raw_key", "name", "category", "quantity", "price", "discount", "store", "branch", "purchased_at", "final_price", "per_unit")
 
 
-@query(_HISTORY + "raw_key = '7'")
+@query(_HISTORY)
 def price_history(spark, d):
-    return A.price_history(S.items(spark, d), S.receipts(spark, d), raw_key="7").select(*_HISTORY_COLUMNS)
+    return A.price_history(S.items(spark, d), S.receipts(spark, d)).select(*_HISTORY_COLUMNS)
 
 
 @query("select raw_key, min(raw_name) as raw_name, min(name) as name, count(*) as n from items group by raw_key")

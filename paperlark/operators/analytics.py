@@ -7,7 +7,7 @@ Every report is one declarative plan of built-in functions; latest rows are aggr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlark.functions.dates import from_millis, month_of, month_title
@@ -145,6 +145,9 @@ def import_outcomes(outcomes: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Of each group the element in the upper middle of the sorted values; groups are those of one document."""
-    found = F.array_sort(F.collect_list(column))
-    return df.groupBy(*keys).agg(F.element_at(found, F.floor(F.size(found) / 2).cast("int") + 1).alias("upper_median"))
+    """Of each group the element in the upper middle of the sorted values, nulls aside; equal values are one row with a count."""
+    counted = df.groupBy(*keys, F.col(column).alias("_value")).agg(F.count(column).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    passed = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
+    return passed.groupBy(*keys).agg(F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("_value"))).alias("upper_median"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,14 @@ def crc_fold(doc_id: str, folds: int = 5) -> Column:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def slices(batches: Iterator[pa.RecordBatch], texts: int = 1, *, rows: int = 400, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts (a column's number) of each hold no more bytes than size, unless it is one text alone."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(texts)), 0), "int64")).to_pylist()
+        first, base = 0, 0
+        for i in range(1, batch.num_rows + 1):
+            if i == batch.num_rows or i - first >= rows or ends[i] - base > size:
+                yield batch.slice(first, i - first)
+                first, base = i, ends[i - 1]

@@ -8,8 +8,9 @@ all. Two sketches agree in a bin with the chance of the sets' Jaccard similarity
 hashed to buckets; with 40 bands of 6, a pair of similarity 0.85 shares no bucket with chance (1 - 0.85^6)^40 < 1e-8.
 
 Buckets of up to ``small`` classes are compared pair by pair. Larger ones that share members make one group, whose
-members are dealt to blocks of bounded size; each pair of blocks is one task, which finds all intersections by products of
-incidence matrices and gives out one row for each member that is linked at all, never the pairs. Members leave before by
+members are dealt to blocks of bounded size; each pair of blocks is one task, which finds the intersections between the two
+(within the one, for a block with itself) by products of incidence matrices and gives out one row for each member that is
+linked at all, never the pairs. Members leave before by
 an exact bound: runs of words that no other member of any group has cannot be shared, and whoever has too many of them
 reaches no set of the sizes at hand. Comparing a group of g classes takes g * g / (2 * block ** 2) small tasks.
 
@@ -26,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlark.llm.common import cut, whole
+from paperlark.llm.common import cut, slices, whole
 from paperlark.llm.components import stars
 from paperlark.llm.words import BASE, mix, runs, word_hashes
 
-_BATCH = 400
-_COLUMNS = 4096
+_COLUMNS = 2048
 
 
 @dataclass(frozen=True)
@@ -78,15 +78,9 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype="uint64").view("int64")), int(mix(s ^ np.uint64(BASE)).sum(dtype="uint64").view("int64"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, _BATCH):
-            yield batch.slice(first, _BATCH)
-
-
 def _describe(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _slices(batches):
+        for some in slices(batches):
             sets = _sets(some.column(1).to_pylist(), p.words)
             sizes = np.array([len(s) for s in sets])
             filled = np.flatnonzero(sizes)
@@ -117,11 +111,12 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _slices(batches):
+        for some in slices(batches):
             sets = _sets(some.column(1).to_pylist(), p.words)
             prints = [_prints(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "f1", "f2", "elements"]
+                [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "n", "f1", "f2", "elements"],
             )
 
     return run
@@ -151,30 +146,38 @@ def _confirm(percent: int):
 
 
 def _compare(percent: int):
-    """Two blocks of sets -> the stars of the links between and within them, by products of incidence matrices."""
+    """Two blocks of sets (or one, with itself) -> the stars of the links between them, by products of incidence matrices."""
 
     def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("second")
         node = rows["node"].to_numpy()
-        sets = [np.frombuffer(x, "uint64") for x in rows["elements"].to_pylist()]
+        first = int((~rows["second"].to_numpy(zero_copy_only=False)).sum())
+        sets = [np.frombuffer(x.as_buffer(), "uint64") for x in rows["elements"]]
         size, n = np.array([len(s) for s in sets]), len(sets)
         kinds, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times > 1
-        column = np.cumsum(shared) - 1
-        of, ok = np.repeat(np.arange(n), size), shared[at]
+        of, shared = np.repeat(np.arange(n), size), times > 1
+        if first < n:  # between two blocks: only what occurs in both
+            shared &= np.bincount(at[of < first], minlength=len(kinds)) < times
+            shared &= np.bincount(at[of >= first], minlength=len(kinds)) < times
+            left, right = slice(0, first), slice(first, n)
+        else:
+            left = right = slice(0, n)
+        column, ok = np.cumsum(shared) - 1, shared[at]
         of, at = of[ok], column[at[ok]]
         order = np.argsort(at, kind="stable")
         of, at = of[order], at[order]
-        common = np.zeros((n, n), "float32")
-        for first in range(0, int(shared.sum()), _COLUMNS):
-            a, b = np.searchsorted(at, [first, first + _COLUMNS])
+        common = np.zeros((left.stop - left.start, right.stop - right.start), "float32")
+        for low in range(0, int(shared.sum()), _COLUMNS):
+            a, b = np.searchsorted(at, [low, low + _COLUMNS])
             here = np.zeros((n, _COLUMNS), "float32")
-            here[of[a:b], at[a:b] - first] = 1
-            common += here @ here.T
-        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-        np.fill_diagonal(linked, True)
+            here[of[a:b], at[a:b] - low] = 1
+            common += here[left] @ here[right].T
+        linked = 100 * common >= percent * (size[left, None] + size[None, right] - common)
         label = np.arange(n)
         while True:  # the smallest number within reach; jumping makes the steps few
-            new = np.where(linked, label[None, :], n).min(axis=1)
+            new = label.copy()
+            new[left] = np.minimum(new[left], np.where(linked, new[None, right], n).min(axis=1, initial=n))
+            new[right] = np.minimum(new[right], np.where(linked, new[left, None], n).min(axis=0, initial=n))
             new = new[new]
             if (new == label).all():
                 break
@@ -203,8 +206,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     some = all_.where("n > 0 and id is not null")
     classes = cut(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))
     # an id with several texts is one node: it joins the classes of all of them
-    own = some.select("id", "f1", "f2").distinct().groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
-    joined = some.join(own, "id").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    repeated = cut(some.groupBy("id").agg(F.count("*").alias("k"), F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("k > 1"))
+    own = repeated.where("x <> y").select("id")
+    joined = some.join(own, "id").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     spread = classes.select("node", "keys").mapInArrow(_spread, "key long, node long")
     shared = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).where("low < high").select("key", "k")
     members = cut(spread.join(shared, "key").select("key", "node", "k"))
@@ -212,10 +216,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = nodes.select(F.col("node").alias("id"))
     if nodes.count() <= p.broadcast_ids:
         wanted = F.broadcast(wanted)  # else texts are shuffled to the ids
-    sets = cut(
-        slim.join(wanted, "id", "left_semi").mapInArrow(_full_sets(p), "node long, f1 long, f2 long, elements binary")
-        .join(classes.select("f1", "f2", "node", "n"), ["f1", "f2", "node"]).groupBy("node").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
-    )
+    sets = slim.join(wanted, "id", "left_semi").mapInArrow(_full_sets(p), "node long, n long, f1 long, f2 long, elements binary")
+    if not repeated.isEmpty():  # of their rows, one with the class's text
+        again = sets.join(repeated.select(F.col("id").alias("node")), "node", "left_semi").join(classes.select("f1", "f2", "node"), ["f1", "f2", "node"])
+        again = again.groupBy("node", "n", "f1", "f2").agg(F.first("elements").alias("elements"))
+        sets = sets.join(repeated.select(F.col("id").alias("node")), "node", "left_anti").unionByName(again)
+    sets = cut(sets.select("node", "n", "elements"))
     sized = cut(members.join(sets.select("node", "n"), "node").select("key", "node", "k", "n"))
 
     def reaches(n: Column, m: Column, common: Column) -> Column:
@@ -251,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             full = full.join(sizes, (full["bundle"] == sizes["bundle"]) & (F.col("m") <= F.col("cap")) & (F.col("n") <= F.col("most")), "left_semi")
         counts = full.groupBy("bundle").agg(F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_elements)).cast("int").alias("blocks"))
         dealt = full.join(counts, "bundle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bundle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "elements")
+        dealt = dealt.select("bundle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "elements")
         found = dealt.groupBy("bundle", "i", "j").applyInArrow(_compare(p.percent), "a long, b long")
         links = stars(links.union(found))
     label = classes.select("f1", "f2", "node").join(links.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))

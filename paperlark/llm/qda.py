@@ -1,12 +1,13 @@
 """Text quality by regularised quadratic discriminant analysis over transformed document statistics.
 
 Statistics of the whole text (lengths, shares of kinds of signs, repetition) are brought nearer to normal ones by
-logarithms and logits. Spark sums, for each class, the count, the statistics and their products over every labelled
-training row; from these few numbers the driver makes each class's mean and covariance, shrunk to the pooled covariance
-and then to its diagonal, and their Cholesky factors. A score is the logistic of the difference of the two log densities
-(Mahalanobis distances by triangular solves with the cached factors, log determinants, class shares), tempered.
+logarithms and logits. Spark sums, for each class, the count, the statistics and their products over the labelled training
+rows, ``sample`` of them at most, picked by a hash of their id; from these few numbers the driver makes each class's mean
+and covariance, shrunk to the pooled covariance and then to its diagonal, and their Cholesky factors. A score is the logistic
+of the difference of the two log densities (Mahalanobis distances by the cached factors, forward substitution for all rows of
+a batch at once; log determinants; class shares), tempered.
 
-Scoring is independent by row: there is no shuffle of texts. Fitting joins statistics, some 200 bytes a row, with labels.
+Scoring is independent by row and fitting sends the sampled ids to the documents: there is no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlark.llm.common import cut, fresh, whole
+from paperlark.llm.common import fresh, whole
 
 #: Names of the statistics, in the order of the vector.
 STATISTICS = (
@@ -67,6 +68,14 @@ def statistics_udf(text: pd.Series) -> pd.Series:
     return pd.Series([statistics(t) for t in text], dtype=object)
 
 
+def forward(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """z with factor @ z = right, factor being lower triangular."""
+    z = np.empty_like(right)
+    for i in range(len(factor)):
+        z[i] = (right[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class QDA:
     """Class means, lower Cholesky factors of the class covariances, their log determinants and the class shares."""
@@ -83,7 +92,7 @@ class QDA:
             return np.zeros(0)
         log_density = []
         for mean, factor, log_det in zip(self.means, self.factors, self.log_dets):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             log_density.append(-0.5 * ((z * z).sum(axis=0) + log_det))
         gap = self.tempered * (log_density[1] - log_density[0]) + self.log_shares[1] - self.log_shares[0]
         return 0.5 * (1 + np.tanh(gap / 2))
@@ -153,11 +162,15 @@ def with_statistics(docs: DataFrame, *, text_col: str = "text", vector_col: str
     return docs.withColumn(fresh(docs, vector_col), statistics_udf(whole(text_col)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **shrinkage: float) -> tuple[DataFrame, QDA | None]:
-    """The statistics of docs (columns id and statistics, cut from their lineage) and what is learned from those that labels marks."""
-    vectors = cut(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "statistics"))
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    return vectors, fit_qda(vectors.join(marks, "id"), label_col="label", **shrinkage)
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, **shrinkage: float) -> QDA | None:
+    """Learn from the texts of docs that labels (id_col, label_col) marks 0 or 1; other labels are left out, a null text counts as empty.
+
+    At most ``sample`` labels are used: those with the smallest hash of their id. None where a class has no rows.
+    """
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    marks = marks.orderBy(F.xxhash64("id"), "id", "label").limit(sample)  # so few rows may be broadcast
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")
+    return fit_qda(with_statistics(rows), label_col="label", **shrinkage)
 
 
 def score_quality(docs: DataFrame, model: QDA | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

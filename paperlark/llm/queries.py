@@ -14,7 +14,7 @@ from paperlark.llm.common import crc_fold, table
 from paperlark.llm.minhash import near_duplicates
 from paperlark.llm.packing import pack
 from paperlark.llm.png_media import media_table
-from paperlark.llm.qda import fit_quality, quality_score
+from paperlark.llm.qda import fit_quality, score_quality
 from paperlark.llm.sharding import minimax_shards
 from paperlark.llm.token_counts import token_counts
 from paperlark.llm.toxicity import fit_toxicity, score_toxicity
@@ -33,10 +33,9 @@ def _judged(scored: DataFrame, least: float) -> DataFrame:
 
 def op1_quality_qda(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality; rows whose id's crc32 is divisible by 5 are held out of the fit."""
-    labels = table(spark, folder, "labels").where(crc_fold("doc_id") != 0)
-    vectors, model = fit_quality(table(spark, folder, "documents"), labels)
-    scored = vectors.select(F.col("id").alias("doc_id"), quality_score(F.col("statistics"), model, spark).alias("score"))
-    return _judged(scored, 0.3)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, folder, "labels").where(crc_fold("doc_id") != 0))
+    return _judged(score_quality(docs, model), 0.3)
 
 
 def op2_png_media(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
 _LOWER = np.arange(256, dtype="uint8")
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
@@ -50,7 +50,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         last = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
         if len(last) < len(first):
             last = np.append(last, len(some))
-        n = 1 << max(20, int(len(some)).bit_length())
+        n = max(_WINDOW, 1 << int(len(some)).bit_length())
         sums = np.concatenate((np.zeros(1, "uint64"), np.cumsum((some.astype("uint64") + np.uint64(1)) * _powers(BASE, n)[: len(some)], dtype="uint64")))
         h = (sums[last] - sums[first]) * _powers(inverse, n)[first]
         hashes.append(mix(h ^ ((last - first).astype("uint64") * np.uint64(BASE))))

@@ -243,7 +243,7 @@ def test_classifiers(spark, docs, none):
     all_, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     tox = fit_toxicity(all_, labels.where(~held))
-    _, qda = fit_quality(all_, labels.where(~held))
+    qda = fit_quality(all_, labels.where(~held))
     got = score_quality(score_toxicity(all_.join(labels, "doc_id").where(held), tox, score_col="t"), qda, score_col="q").toPandas()
     assert ((got.t >= 0.5) == (got.toxic == 1)).mean() > 0.9 and ((got.q >= 0.3) == (got.quality == 1)).mean() > 0.95
     assert not ((got.t >= 0.5) & (got.toxic == 0)).mean() > 0.03
@@ -251,6 +251,6 @@ def test_classifiers(spark, docs, none):
         made = scored(docs, model).toPandas()  # docs has a column score already
         assert made["_score"].between(0, 1).all() and list(made["score"].unique()) == ["s"] and scored(none, model).count() == 0
     assert set(score_toxicity(docs, fit_toxicity(none, labels)).toPandas()["_score"]) == {0.5}
-    _, nothing = fit_quality(none, labels)
+    nothing = fit_quality(none, labels)
     assert set(score_quality(docs, nothing).toPandas()["_score"]) == {0.5}
     assert isinstance(pd.Series(dtype=float), pd.Series)

@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose quality is 0.3 or more; learns from the labelled ones that are not held out."""
-    _, model = fit_quality(docs, table(spark, sf_dir, "labels").where(crc_fold("doc_id") != 0))
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(crc_fold("doc_id") != 0))
     score = fresh(docs, "score")
     return score_quality(docs, model, score_col=score).where(F.col(score) >= 0.3).drop(score)
 

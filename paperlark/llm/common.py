@@ -43,6 +43,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of an Arrow batch at most: texts are long, and a worker and its executor hold some batches at a time.
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; its session then sends no more rows in an Arrow batch than BATCH_ROWS, and runs all kinds of Python functions in
+    one pool of workers (Spark keeps a second one, with its memory, for functions with shortened tracebacks)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlark.llm.common import shared_path, whole
+from paperlark.llm.common import bounded, shared_path, slices, whole
 from paperlark.llm.words import mix, word_hashes
 
 END = np.uint64(0x2545F4914F6CDD1D)
-_SLICE = 400
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
@@ -181,11 +180,9 @@ def files(model: Model) -> Files:
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of rows with all tokens of their texts, the end after each, and the number of tokens of each text."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, _SLICE):
-            some = batch.slice(first, _SLICE)
-            h, n = word_hashes(some.column(column).to_pylist())
-            yield some, np.insert(h, np.cumsum(n), END), n + 1
+    for some in slices(batches, column):
+        h, n = word_hashes(some.column(column).to_pylist())
+        yield some, np.insert(h, np.cumsum(n), END), n + 1
 
 
 def _runs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -261,7 +258,7 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
     model that knows no word."""
     spark = train.sparkSession
     model = Model(shared_path(spark, "kneser-ney"))
-    texts = train.select(whole(text_col).alias("text"))
+    texts = bounded(train).select(whole(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     bits, path = model.word_bits, model.path
@@ -391,6 +388,6 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    slim = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     return slim.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)

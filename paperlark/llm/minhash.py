@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlark.llm.common import cut, slices, whole
+from paperlark.llm.common import bounded, cut, slices, whole
 from paperlark.llm.components import stars
 from paperlark.llm.words import BASE, mix, runs, word_hashes
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of docs are ignored; an empty table gives no rows.
     """
     p = params
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
     all_ = cut(slim.mapInArrow(_describe(p), "id long, n long, f1 long, f2 long, keys binary"))
     some = all_.where("n > 0 and id is not null")
     classes = cut(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.first("keys").alias("keys")))

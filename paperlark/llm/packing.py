@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlark.llm.bpe import END, WordBPE
-from paperlark.llm.common import shared_dir, whole
+from paperlark.llm.common import bounded, shared_dir, slices, whole
 
 #: Chunks whose ids a worker keeps: some 200 bytes each.
-LIBRARY_CACHED = 800_000
-PIECES_CACHED = 500_000
+LIBRARY_CACHED = 150_000
+PIECES_CACHED = 150_000
 #: Fixed value: signs that are neither letters, digits, spaces nor the beginning of a contraction.
 MARKS = ".,;:!?#$%&*|()[]\""
 #: Partitions whose bases, some 16 bytes each, are broadcast; beyond it they are joined.
@@ -89,18 +89,15 @@ def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = load(path), TaskContext.get().partitionId(), 0
         kind = np.dtype("<u2") if len(words.ids) + len(words.special) <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):  # memory holds few documents' ids at a time
-                some = batch.slice(first, 512)
-                texts = some.column(1).to_pylist()
-                ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in words.encode_all(texts)]
-                sizes = np.array([len(x) for x in ids], "int64")
-                starts = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(np.full(len(ids), part, "int32")), pa.array(starts), pa.array(sizes), pa.array(np.full(len(ids), kind.itemsize, "int32")), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=["id", "part", "start", "doc_tokens", "width", "ids"],
-                )
+        for some in slices(batches, rows=512, size=2 << 20):  # memory holds few documents' ids at a time
+            ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in words.encode_all(some.column(1).to_pylist())]
+            sizes = np.array([len(x) for x in ids], "int64")
+            starts = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array(np.full(len(ids), part, "int32")), pa.array(starts), pa.array(sizes), pa.array(np.full(len(ids), kind.itemsize, "int32")), pa.array([x.tobytes() for x in ids], pa.binary())],
+                names=["id", "part", "start", "doc_tokens", "width", "ids"],
+            )
 
     return run
 
@@ -134,7 +131,7 @@ def pack(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, id_
     ignored. What pass one writes goes to the shared folder of ``spark.checkpoint.dir``.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    slim = bounded(docs).select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     written = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
     slim.mapInArrow(_tokenize(path, end_id), f"id {kind}, part int, start long, doc_tokens long, width int, ids binary").write.option("compression", "zstd").parquet(written)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlark.llm.common import fresh, whole
+from paperlark.llm.common import bounded, fresh, whole
 
 #: Names of the statistics, in the order of the vector.
 STATISTICS = (
@@ -159,7 +159,7 @@ def quality_score(vector: Column, model: QDA | None, spark) -> Column:
 
 def with_statistics(docs: DataFrame, *, text_col: str = "text", vector_col: str = "statistics") -> DataFrame:
     """docs with one more column, vector_col (renamed with underscores where docs has one). A null text counts as empty."""
-    return docs.withColumn(fresh(docs, vector_col), statistics_udf(whole(text_col)))
+    return bounded(docs).withColumn(fresh(docs, vector_col), statistics_udf(whole(text_col)))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, **shrinkage: float) -> QDA | None:
@@ -178,4 +178,4 @@ def score_quality(docs: DataFrame, model: QDA | None, *, text_col: str = "text",
 
     Null texts score as empty ones, every text 0.5 without a model. Repeated rows stay; an empty table stays empty.
     """
-    return docs.withColumn(fresh(docs, score_col), quality_score(statistics_udf(whole(text_col)), model, docs.sparkSession))
+    return bounded(docs).withColumn(fresh(docs, score_col), quality_score(statistics_udf(whole(text_col)), model, docs.sparkSession))

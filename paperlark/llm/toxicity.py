@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlark.llm.common import fresh, whole
+from paperlark.llm.common import bounded, fresh, whole
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -116,7 +116,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     spark = docs.sparkSession
     ids = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("id"), "id", "y").limit(sample)  # so few rows may be broadcast
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "y")
+    rows = bounded(docs).select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "y")
     rows = rows.repartition(max(2, min(64, sample // 500))).persist()
     size = 1 << grams.bits
     try:
@@ -174,4 +174,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(told.value.scores(text))
 
-    return docs.withColumn(fresh(docs, score_col), score(whole(text_col)))
+    return bounded(docs).withColumn(fresh(docs, score_col), score(whole(text_col)))

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a temporary one is set."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset a local master, as in tests, gets a temporary one, and a
+    cluster an error: its machines share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not (found := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperlark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -57,6 +60,12 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,8 @@ def _beside_least(rows: DataFrame, links: DataFrame, n: int) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
     most = max(64, n // HUBS)
     hubs = least.where(F.col("k") > most).select("a", F.col("m").alias("hub_m"))
-    others = least.where(F.col("k") <= most).select("a", "m", F.lit(0).alias("part"))
+    # part is 0 for them all, in a form that the optimizer does not know: else it joins by a alone
+    others = least.where(F.col("k") <= most).select("a", "m", F.when(F.col("k") > most, 1).otherwise(0).alias("part"))
     dealt = rows.join(F.broadcast(hubs), "a", "left").withColumn("part", F.when(F.col("hub_m").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("b"), F.lit(HUBS)).cast("int")))
     return dealt.join(others, ["a", "part"], "left").select("a", "b", F.coalesce("m", "hub_m").alias("m"))
 

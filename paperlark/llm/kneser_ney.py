@@ -261,6 +261,9 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
     texts = bounded(train).select(whole(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    # shards of words hold some 256 MB of text each, so that a task merges runs of bounded size
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model.word_bits = min(16, max(6, (size >> 28).bit_length()))
     bits, path = model.word_bits, model.path
     runs = texts.mapInArrow(_count(lambda h, n: h, lambda k: (k >> np.uint64(64 - bits)).astype("int64"), flush), "shard int, run binary")
 
@@ -268,10 +271,9 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
         for shard, rows in _by_shard(batches):
             k, c = _merged(rows)
             _write(f"{path}/words/{shard:06d}", k.astype("<u8"), c.astype("<u8"))
-            top = np.argsort(c)[-64:]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([top.astype("int64").tolist()]), pa.array([c[top].astype("int64").tolist()])], names=["shard", "n", "tokens", "top", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64())], names=["shard", "n", "tokens"])
 
-    found = _grouped(runs, parts).mapInArrow(write_words, "shard int, n long, tokens long, top array<long>, counts array<long>").collect()
+    found = _grouped(runs, parts).mapInArrow(write_words, "shard int, n long, tokens long").collect()
     sizes = np.zeros(1 << bits, "int64")
     for r in found:
         sizes[r.shard] = r.n
@@ -280,9 +282,18 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
         return model
     if model.words >= (1 << 32) - 1:
         raise ValueError("pairs hold 32-bit numbers of words")
-    model.pair_shards = max(1 << bits, -(-model.tokens // tokens_per_shard))
+    model.pair_shards = max(1 << 6, -(-model.tokens // tokens_per_shard))
     least = model.tokens // model.pair_shards
-    model.hot = np.array(sorted([model.words, *(int(model.starts[r.shard]) + t for r in found for t, c in zip(r.top, r.counts) if c > least)]), "uint64")
+
+    def frequent(batches):
+        """The numbers of the words that make up more than an even shard: fewer than there are shards."""
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                _, counts = files(model).arrays("words", shard, None, "<u8", "<u8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts > least) + model.starts[shard])], names=["n"])
+
+    shards = spark.range(0, 1 << bits, 1, min(1 << bits, parts)).where(F.col("id").isin([r.shard for r in found]) if len(found) < 1 << bits else F.lit(True))
+    model.hot = np.array(sorted([model.words, *(r.n for r in shards.mapInArrow(frequent, "n long").collect())]), "uint64")
 
     def pair_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         kinds, at = np.unique(h, return_inverse=True)
@@ -292,7 +303,7 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
         return (before << _32) | ids
 
     pairs = texts.mapInArrow(_count(pair_keys, model.pair_shard, flush), "shard int, run binary")
-    model.range_shards = 1 << bits
+    model.range_shards = max(1 << 6, -(-model.words // tokens_per_shard))
 
     def write_pairs(batches):
         wide = model.words + 1

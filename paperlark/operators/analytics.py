@@ -88,6 +88,37 @@ def unmatched_count(items: DataFrame, mappings: DataFrame) -> DataFrame:
     return unmatched(items, mappings).agg(F.count_distinct("raw_key").alias("n"))
 
 
+def items_of(items: DataFrame, receipt_id: int | None = None) -> DataFrame:
+    """The items of one receipt, or of every one, in their places."""
+    some = items if receipt_id is None else items.where(F.col("receipt_id") == receipt_id)
+    return some.orderBy(*([] if receipt_id is not None else ["receipt_id"]), "position", "id")
+
+
+def newest_first(df: DataFrame, column: str, key: str) -> DataFrame:
+    """Products by updated_at, or unknown codes by scanned_at, the newest first, ties by key."""
+    return df.orderBy(F.desc(column), key)
+
+
+def products_of(products: DataFrame, raw_keys: DataFrame) -> DataFrame:
+    """The products linked with the raw keys, with the key."""
+    return raw_keys.select("raw_key").distinct().join(products, F.col("raw_key") == F.col("linked_raw_key"))
+
+
+def table_counts(receipts: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row: how many receipts and catalog products there are."""
+    return receipts.agg(F.count("*").alias("receipts")).join(F.broadcast(catalog.agg(F.count("*").alias("catalog"))))  # two single rows
+
+
+def image_paths(receipts: DataFrame) -> DataFrame:
+    return receipts.where("image_path is not null").select("image_path")
+
+
+def picker(choices: DataFrame, text: str, top: int = 100) -> DataFrame:
+    """The first ``top`` choices (label, sublabel, seq) whose label and sublabel hold the text, in the order of seq (a top-k report)."""
+    both = choices.withColumn("_both", F.concat(F.col("label"), F.lit(" "), F.coalesce("sublabel", F.lit(""))))
+    return search(both, text, column="_both").drop("_both").orderBy("seq").limit(top)
+
+
 def catalog_by_ean(products: DataFrame, eans: DataFrame, ean: str | None = None) -> DataFrame:
     some = eans if ean is None else eans.where(F.col("ean") == ean)
     return some.join(products, "product_id")
@@ -104,14 +135,16 @@ def product_detail(items: DataFrame, receipts: DataFrame) -> DataFrame:
     """Of each name: purchases, sums, the average (fraction cut off), least and largest price of a unit, discounts, raw names in the order of the newest."""
     unit = per_unit(final_price(), F.col("quantity"))
     found = with_receipts(items, receipts).withColumn("pu", unit)
-    raws = found.groupBy("name", "raw_name").agg(F.max(F.struct(F.coalesce("purchased_at", F.lit(-(1 << 62))).alias("at"), "id")).alias("newest")).groupBy("name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("newest.at")).alias("o"), "raw_name"))), lambda x: x["raw_name"]).alias("names")
-    )  # the distinct spellings of one product
-    sums = found.groupBy("name").agg(
-        F.count("*").alias("n"), F.sum(final_price()).alias("spent"), F.expr("sum(pu) div count(pu)").alias("avg_unit"), F.min("pu").alias("min_unit"), F.max("pu").alias("max_unit"),
-        F.count_if(F.col("discount") > 0).alias("discounted"), F.sum("discount").alias("saved"),
+    spelt = found.groupBy("name", "raw_name").agg(
+        F.count("*").alias("n"), F.sum(final_price()).alias("spent"), F.sum("pu").alias("pu"), F.count("pu").alias("pn"), F.min("pu").alias("min_unit"), F.max("pu").alias("max_unit"),
+        F.count_if(F.col("discount") > 0).alias("discounted"), F.sum("discount").alias("saved"), F.max(F.coalesce("purchased_at", F.lit(-(1 << 62)))).alias("at"),
     )
-    return sums.join(raws.select("name", F.array_join("names", ", ").alias("raw_names"), F.size("names").alias("spellings")), "name")
+    # a product has few spellings: only their sums meet
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("raw_name").isNotNull(), F.struct((-F.col("at")).alias("o"), "raw_name")))), lambda x: x["raw_name"])
+    return spelt.groupBy("name").agg(
+        F.sum("n").alias("n"), F.sum("spent").alias("spent"), F.expr("sum(pu) div sum(pn)").alias("avg_unit"), F.min("min_unit").alias("min_unit"), F.max("max_unit").alias("max_unit"),
+        F.sum("discounted").alias("discounted"), F.sum("saved").alias("saved"), names.alias("_names"),
+    ).select("*", F.array_join("_names", ", ").alias("raw_names"), F.size("_names").alias("spellings")).drop("_names")
 
 
 def linked_stats(items: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from paperlark.functions import dates, money, names, text
 from paperlark.functions.name_tables import KNOWN_NAMES
 from paperlark.operators import analytics as A
+from paperlark.operators import flows
 from paperlark.operators import ingest as I
 from paperlark.operators import matching as M
 from paperlark.operators import receipts as R
 from paperlark.plans import standins as S
-from paperlark.sources import exports
+from paperlark.sources import exports, schemas
 from paperlark.streaming import imports as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,7 +232,7 @@ def barcode_lookup(spark, d):
 @query(r"""select doc_id, fold, translate(replace(fold, ' ', ''), 'li|!o', '11110') as folded from (select doc_id,
     trim(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'áéíóúñüäöàâçèêëîïôûùÿ', 'aeiounuaoaaceeeiiouuy'), '\s*\.\s*', '.', 'g'), '\s+', ' ', 'g')), '[.,:;*]+$', '')) as fold from documents)""", model=False)
 def name_key_fold(spark, d):
-    docs = S.table(spark, d, "documents")
+    docs = S.dealt(spark, d, "documents")
     return docs.select("doc_id", text.name_key(F.col("text")).alias("fold"), text.fold(F.col("text")).alias("folded"))
 
 
@@ -277,7 +278,7 @@ _KEYWORD_CASE = _case(names.KEYWORDS, "t") + " else 'OSTATNI' end"
 
 @query(f"select conv_id, turn, {_KEYWORD_CASE} as category from (select conv_id, turn, ' ' || strip_accents(lower(text)) || ' ' as t from conversations)", model=False)
 def keyword_category(spark, d):
-    return S.table(spark, d, "conversations").select("conv_id", "turn", names.categorize(F.col("text")).alias("category"))
+    return S.dealt(spark, d, "conversations").select("conv_id", "turn", names.categorize(F.col("text")).alias("category"))
 
 
 @query(f"select page_id, {_case(names.TAGS, 'g')} else {_KEYWORD_CASE} end as category from (select page_id, lower(url) as g, ' ' || strip_accents(lower(url)) || ' ' as t from pages)", model=False)
@@ -288,7 +289,7 @@ def tag_category(spark, d):
 @query()
 def expand_abbrev(spark, d):
     """Every document's lines spelt out; no SQL: a dictionary over extracted tokens. The tests hold it against a plain version."""
-    lines = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = S.dealt(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", "line_no", names.expand(F.col("line")).alias("expanded"))
 
 
@@ -385,7 +386,7 @@ def user_price(spark, d):
 @query()
 def receipt_parse(spark, d):
     """Every document parsed as a receipt, one line a row. No SQL: a fold; the tests hold it against golden receipts."""
-    docs = S.table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("rows"))
+    docs = S.dealt(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("rows"))
     found = R.parse_receipts(docs)
     return found.select("doc_id", "store", "branch", "purchased_at", "total", "subtotal", "total_discount", "payment", "receipt_number", "unique_key", F.size("items").alias("n_items"), F.array_join("warnings", " ").alias("warnings"))
 
@@ -393,7 +394,7 @@ def receipt_parse(spark, d):
 @query()
 def receipt_score(spark, d):
     """Every document's likeness to a receipt. No SQL: Unicode classes and lookups of the line grammar."""
-    return S.table(spark, d, "documents").select("doc_id", R.receipt_score(F.split("text", "\n")).alias("score"))
+    return S.dealt(spark, d, "documents").select("doc_id", R.receipt_score(F.split("text", "\n")).alias("score"))
 
 
 @query()
@@ -438,8 +439,192 @@ def all_items_export(spark, d):
     select store || ' | ' || min(raw_name) || ' | ' || count(*) as line from bought where catalog_id is null and raw_key not in (select raw_key from mappings) group by store, raw_key
     union all select 'EAN | ' || s_suppkey from supplier
     union all select '# Formát: obchod | název na účtence | počet nákupů' union all select '' union all select '' union all select '# Čárové kódy'
-    union all select '# Obchodsken – nerozpoznané produkty (' || (select count(*) from (select distinct store, raw_key from bought where catalog_id is null and raw_key not in (select raw_key from mappings))) || ' položek, ' || (select count(*) from supplier) || ' kódů)')""")
+    union all select '# Export – nerozpoznané produkty (' || (select count(*) from (select distinct store, raw_key from bought where catalog_id is null and raw_key not in (select raw_key from mappings))) || ' položek, ' || (select count(*) from supplier) || ' kódů)')""")
 def unmatched_export(spark, d):
     found = A.unmatched_items(S.items(spark, d), S.receipts(spark, d), S.mappings(spark, d))
     codes = S.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_suppkey").alias("scanned_at"))
     return exports.unmatched_lines(found, codes).select("line")
+
+
+# --- whole operations and single lookups
+
+
+def _printed(cents):
+    return F.format_string("%d,%02d", F.floor(cents / 100), cents % 100)
+
+
+def _receipt_texts(spark, d):
+    """Every order printed as a receipt of its line items; of every seventh the printed total is one crown too high."""
+    parts = S.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    lines = S.table(spark, d, "lineitem").join(parts, "l_partkey")
+    price, off = F.floor(S.cents("l_extendedprice") / 100), F.floor(F.round(F.col("l_extendedprice") * F.col("l_discount") * 100).cast("long") / 100)
+    lines = lines.select("l_orderkey", "l_linenumber", "p_name", F.col("l_quantity").cast("int").alias("q"), price.alias("price"), off.alias("off"))
+    shown = F.array_compact(
+        F.array(
+            F.concat("p_name", F.lit(" "), _printed(F.col("price")), F.lit(" B")),
+            F.when(F.col("q") > 1, F.concat(F.col("q").cast("string"), F.lit(" ks x "), _printed(F.floor(F.col("price") / F.col("q"))))),
+            F.when(F.col("off") > 0, F.concat(F.lit("Sleva -"), _printed(F.col("off")))),
+        )
+    )
+    by_order = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", shown.alias("shown")))).alias("x"), F.sum(F.col("price") - F.col("off")).alias("s"))
+    orders = S.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(by_order, F.col("o_orderkey") == F.col("l_orderkey"))
+    customers = S.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(S.table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    total = F.col("s") + F.when(F.col("o_orderkey") % 7 == 0, 100).otherwise(0)
+    rows = F.concat(
+        F.array(F.lit("Lidl s.r.o."), F.concat(F.lit("Provozovna: "), "n_name"), F.lit("Kč")), F.flatten(F.transform("x", lambda i: i["shown"])),
+        F.array(F.lit("-------"), F.concat(F.lit("K PLATBĚ: "), _printed(total)), F.lit("Hotovost"), F.date_format("o_orderdate", "dd.MM.yyyy H:mm")),
+    )
+    return orders.join(customers, "o_custkey").select(F.col("o_orderkey").alias("seq"), rows.alias("rows"))
+
+
+_TEXTS = """with lines as (
+    select l_orderkey, p_name, cast(l_quantity as int) as q, cast(round(l_extendedprice * 100) as bigint) // 100 as price, cast(round(l_extendedprice * l_discount * 100) as bigint) // 100 as off from lineitem join part on l_partkey = p_partkey
+), printed as (
+    select o_orderkey as seq, n_name as branch, date_trunc('minute', o_orderdate) as moment, n, s, off, q, s + case when o_orderkey % 7 = 0 then 100 else 0 end as total
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+        join (select l_orderkey, count(*) as n, cast(sum(price - off) as bigint) as s, cast(sum(off) as bigint) as off, cast(sum(greatest(q, 1)) as double) as q from lines group by 1) on l_orderkey = o_orderkey
+), keyed as (select *, 'Lidl|' || strftime(moment, '%Y-%m-%dT%H:%M') || '|' || total as unique_key from printed)
+"""
+
+
+@query(_TEXTS + "select seq, 'Lidl' as store, branch, epoch_ms(moment) as purchased_at, total, off as total_discount, 'Hotovost' as payment, unique_key, cast(n as int) as n_items, s as items_sum, q as pieces, case when s <> total then 1 else 0 end as n_warnings from keyed", model=False)
+def receipt_texts(spark, d):
+    """Every order printed as a receipt and parsed."""
+    found = R.parse_receipts(_receipt_texts(spark, d))
+    sums = lambda zero, f: F.aggregate("items", F.lit(zero), lambda a, i: a + f(i))
+    return found.select(
+        "seq", "store", "branch", dates.to_millis(F.col("purchased_at")).alias("purchased_at"), "total", "total_discount", "payment", "unique_key", F.size("items").alias("n_items"),
+        F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["price"] - i["discount"]).alias("items_sum"), sums(0.0, lambda i: i["quantity"]).alias("pieces"), F.size("warnings").alias("n_warnings"),
+    )
+
+
+def _named(spark, d):
+    """Mappings for every other part's name, and a catalog that knows the rest by brand."""
+    known = S.table(spark, d, "part").groupBy("p_name").agg(F.min("p_brand").alias("brand"))
+    odd = F.length("p_name") % 2 == 1
+    mappings = known.where(odd).select(F.col("p_name").alias("raw_key"), F.upper("p_name").alias("name"), F.lit("OSTATNI").alias("category"), F.lit(None).cast("string").alias("image_url"))
+    catalog = known.where(~odd).select(F.col("p_name").alias("product_id"), F.concat(F.lit("K "), F.col("p_name")).alias("name"), F.lit("NAPOJE").alias("category"), F.lit(None).cast("string").alias("image_url"), "brand")
+    return mappings, catalog, catalog.select("product_id", F.lit("Lidl").alias("store"), F.col("product_id").alias("alias"), F.lit(0).alias("seq"))
+
+
+_NAME = "case when length(p_name) % 2 = 1 then upper(p_name) else 'K ' || p_name end"
+
+
+@query(_TEXTS + f""", doc as (select seq, unique_key, n, seq % 10 = 3 as broken from keyed union all select seq + 100000000, unique_key, n, false from keyed where seq % 10 = 0),
+    told as (select *, case when broken then 'failed' when unique_key in (select unique_key from keyed where seq % 11 = 0) then 'duplicate' when seq = min(seq) filter (not broken) over (partition by unique_key) then 'saved' else 'duplicate' end as outcome from doc),
+    names as (select l_orderkey, min({_NAME}) as first_name, max({_NAME}) as last_name from lines group by 1)
+    select seq, outcome, case when outcome = 'saved' then n else 0 end as n_items, case when outcome = 'saved' then first_name end as first_name, case when outcome = 'saved' then last_name end as last_name from told left join names on l_orderkey = seq % 100000000""", model=False)
+def import_flow(spark, d):
+    """Every order's receipt imported, some twice, some stored before, some unreadable: outcomes and the named items that are saved."""
+    texts = _receipt_texts(spark, d)
+    stored = R.parse_receipts(texts.where("seq % 11 = 0")).select("unique_key")
+    docs = texts.select("seq", F.when(F.col("seq") % 10 != 3, F.col("rows")).alias("rows")).union(texts.where("seq % 10 = 0").select(F.col("seq") + 100000000, "rows"))
+    none = spark.createDataFrame([], schemas.ITEMS)
+    out = flows.import_documents(docs, stored, none, *_named(spark, d))
+    items = out["items"].groupBy(F.col("receipt_id").alias("saved_id")).agg(F.count("*").alias("n_items"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    return out["outcomes"].join(items, "saved_id", "left").select("seq", "outcome", F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_name", "last_name")
+
+
+@query(_TEXTS + "select seq as id, case when seq % 3 = 0 then 'Jinde' else 'Lidl' end as store, case when seq % 3 = 0 then 5 else total end as total, 'R' || seq as receipt_number, case when seq % 3 = 0 then 1 else n end as n_items, case when seq % 3 = 0 then 'old' end as name from keyed", model=False)
+def reparse_flow(spark, d):
+    """Stored receipts parsed again with their items, but for every third, which has no text."""
+    texts = _receipt_texts(spark, d)
+    old = {"store": F.lit("Jinde"), "total": F.lit(5).cast("long"), "receipt_number": F.concat(F.lit("R"), F.col("seq").cast("string")), "ocr_text": F.when(F.col("seq") % 3 != 0, F.array_join("rows", "\n"))}
+    fields = [c.split() for c in schemas.RECEIPTS.split(", ")]
+    receipts = texts.select(*[F.col("seq").alias("id") if c == "id" else old.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+    fields = [c.split() for c in schemas.ITEMS.split(", ")]
+    before = {"id": F.col("seq"), "receipt_id": F.col("seq"), "name": F.lit("old")}
+    items = texts.select(*[before.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+    now, own = flows.reparse_stored(receipts, items, *_named(spark, d))
+    counts = own.groupBy(F.col("receipt_id").alias("id")).agg(F.count("*").alias("n_items"), F.max(F.when(F.col("name") == "old", F.col("name"))).alias("name"))
+    return now.join(counts, "id").select("id", "store", "total", "receipt_number", "n_items", "name")
+
+
+@query("""select i.id, coalesce('E ' || e.raw_key, i.name) as name, case when e.raw_key is null then i.category else 'NAPOJE' end as category from items i left join (select distinct raw_key from items where position = 1 and receipt_id % 50 = 0) e on i.raw_key = e.raw_key""")
+def edit_everywhere(spark, d):
+    """Edits of some items that go to all items of their raw key."""
+    items = S.items(spark, d).select("id", "receipt_id", "position", "raw_key", "name", "category", "image_url")
+    edits = items.where("position = 1 and receipt_id % 50 = 0").select("id", F.concat(F.lit("E "), F.col("raw_key")).alias("name"), F.lit("NAPOJE").alias("category")).distinct()
+    now, _ = flows.edit_items(items, S.mappings(spark, d), edits, everywhere=True)
+    return now.select("id", "name", "category")
+
+
+@query("select id, abs(coalesce(s, 0) - total) > 100 as warned from receipts left join (select receipt_id, sum(price - discount) as s from items group by 1) on receipt_id = id")
+def check_again(spark, d):
+    return flows.check_again(S.receipts(spark, d), S.items(spark, d)).select("id", F.col("warning").isNotNull().alias("warned"))
+
+
+@query("""select 'product' as kind, p_partkey as code, case when p_size <= 10 then 'L ' || p_name when p_size <= 20 then 'C ' || p_name else 'O ' || p_name end as name from part where p_size <= 30
+    union all select 'unknown', p_partkey, null from part where p_size > 30 union all select 'unknown', -1, null
+    union all select 'history', cast(raw_key as bigint), id from bought join part on raw_key = cast(p_partkey as varchar) where p_size <= 5""")
+def scan_flow(spark, d):
+    """Every part scanned: products and unknown codes afterwards, and the purchases of the products that are linked."""
+    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("code"), "p_name", "p_size")
+    named = lambda sign, least: part.where(F.col("p_size") <= least).select("code", F.concat(F.lit(sign + " "), "p_name").alias("name"), F.lit("OSTATNI").alias("category"))
+    linked = F.when(F.col("p_size") <= 5, F.col("code").cast("string"))
+    products = part.where("p_size <= 10").select(F.col("code").alias("barcode"), F.concat(F.lit("L "), "p_name").alias("name"), F.lit(None).cast("string").alias("brand"), F.lit("OSTATNI").alias("category"), F.lit("x").alias("source"), linked.alias("linked_raw_key"))
+    catalog = named("C", 20).withColumnRenamed("code", "product_id")
+    online = named("O", 30).select("code", F.lit(0).alias("host_rank"), F.lit(1).alias("status"), "name", "category")
+    unknown = part.where("p_size <= 30 and code % 2 = 0").select("code", F.lit(1).cast("long").alias("scanned_at")).union(spark.createDataFrame([(-1, 1)], "code long, scanned_at long"))
+    out = flows.scan_codes(part.select("code", F.lit(5).cast("long").alias("scanned_at")), products, unknown, catalog, catalog.select(F.col("product_id").alias("ean"), "product_id"), online, S.items(spark, d), S.receipts(spark, d))
+    kind = lambda df, k, code, name: df.select(F.lit(k).alias("kind"), F.col(code).cast("long").alias("code"), name.alias("name"))
+    none = F.lit(None).cast("string")
+    return kind(out["products"], "product", "barcode", F.col("name")).union(kind(out["unknown"], "unknown", "code", none)).union(kind(out["history"], "history", "barcode", F.col("id")))
+
+
+@query("""select i.id, coalesce(i.image_url, case when p_size > 20 then 'pic/' || p_partkey end) as image_url from items i join part on i.raw_key = cast(p_partkey as varchar)
+    union all select 'mapping ' || raw_key, image_url from mappings
+    union all select distinct 'mapping ' || raw_key, 'pic/' || raw_key from items join part on raw_key = cast(p_partkey as varchar) where p_size > 20""")
+def link_flow(spark, d):
+    """Products linked with raw keys: images of items and mappings afterwards."""
+    part = S.table(spark, d, "part")
+    fields = [c.split() for c in schemas.PRODUCTS.split(", ")]
+    old = {"barcode": F.col("p_partkey"), "name": F.col("p_name"), "image_url": F.when(F.col("p_size") > 20, F.concat(F.lit("pic/"), F.col("p_partkey").cast("string")))}
+    products = part.select(*[old.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+    links = products.select("barcode", F.col("barcode").alias("raw_key"))
+    _, items, mappings = flows.link_products(links, products, S.items(spark, d), S.receipts(spark, d), S.mappings(spark, d))
+    return items.select("id", "image_url").union(mappings.select(F.concat(F.lit("mapping "), F.col("raw_key")), "image_url"))
+
+
+@query("select receipt_id, position, id from items")
+def receipt_items(spark, d):
+    return A.items_of(S.items(spark, d)).select("receipt_id", "position", "id")
+
+
+@query("select o_orderkey as code, epoch_ms(o_orderdate) as scanned_at from orders", model=False)
+def codes_newest_first(spark, d):
+    codes = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("code"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("scanned_at"))
+    return A.newest_first(codes, "scanned_at", "code")
+
+
+@query("select distinct i.raw_key, p_partkey as barcode from items i join part on i.raw_key = cast(p_partkey as varchar) where p_size > 20")
+def products_of_raw_key(spark, d):
+    products = S.table(spark, d, "part").select(F.col("p_partkey").alias("barcode"), F.when(F.col("p_size") > 20, F.col("p_partkey").cast("string")).alias("linked_raw_key"))
+    return A.products_of(products, S.items(spark, d)).select("raw_key", "barcode")
+
+
+@query("select (select count(*) from receipts) as receipts, (select count(*) from part) as catalog")
+def table_counts(spark, d):
+    return A.table_counts(S.receipts(spark, d), S.table(spark, d, "part"))
+
+
+@query("select warning as image_path from receipts where warning is not null")
+def image_paths(spark, d):
+    return A.image_paths(S.receipts(spark, d).withColumnRenamed("warning", "image_path"))
+
+
+@query("select p_partkey as seq, p_name as label, p_type as sublabel from part where contains(lower(p_name || ' ' || p_type), 'r s') order by p_partkey limit 100", model=False)
+def picker(spark, d):
+    choices = S.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("label"), F.col("p_type").alias("sublabel"))
+    return A.picker(choices, "R S")
+
+
+@query(r"""select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_filter(regexp_split_to_array(l, '[ \t\r\f\v]+'), lambda w: w <> ''), ' ')), lambda l: l <> ''), chr(10)) as rows from documents where regexp_matches(text, '[^ \t\r\f\v\n]')""", model=False)
+def rows_of_lines(spark, d):
+    """Every document's words placed line by line, out of order, and put together as rows again."""
+    lines = S.dealt(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("l", r"[ \t\r\f\x0B]+"), lambda w: w != "")).alias("k", "text"))
+    x, y = F.col("k") * 60, F.col("line") * 40 + F.pmod(F.xxhash64("text"), F.lit(7))
+    place = lambda c: c.cast("float")
+    words = words.select("doc_id", F.xxhash64("line", "k").alias("seq"), "text", place(x).alias("left"), place(y).alias("top"), place(x + 50).alias("right"), place(y + 20).alias("bottom"), place(F.lit(0)).alias("angle"))
+    return R.build_rows(words).select("doc_id", F.array_join("rows", "\n").alias("rows"))

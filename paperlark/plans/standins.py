@@ -10,6 +10,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows take long: one of fewer splits than cores, so of few bytes, is dealt out to all of them."""
+    df, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cents(x: str) -> Column:
     return F.round(F.col(x) * 100).cast("long")
 

@@ -11,7 +11,8 @@ from paperlark.functions.names import category_label
 
 #: The header of the items, behind a byte order mark; the headings of the other export.
 HEADER = chr(0xFEFF) + "datum;obchod;pobočka;položka (účtenka);název;kategorie;množství;jednotka;cena;sleva;zaplaceno"
-UNMATCHED_TITLE = "# Obchodsken – nerozpoznané produkty (%d položek, %d kódů)"
+UNMATCHED_TITLE = "# %s – nerozpoznané produkty (%d položek, %d kódů)"
+TITLE = "Export"
 UNMATCHED_FORMAT = "# Formát: obchod | název na účtence | počet nákupů"
 CODES_TITLE = "# Čárové kódy"
 
@@ -38,11 +39,11 @@ def write_items(items: DataFrame, path: str) -> None:
     head.unionByName(body).orderBy("part", "purchased_at", "position", "id").select("line").write.text(path)
 
 
-def unmatched_lines(items: DataFrame, codes: DataFrame) -> DataFrame:
-    """The export of unknown items (store, raw_name, n) and codes (code, scanned_at): line, and its order (section, rank, k1, k2)."""
+def unmatched_lines(items: DataFrame, codes: DataFrame, title: str = TITLE) -> DataFrame:
+    """The export of unknown items (store, raw_name, n) and codes (code, scanned_at), title first: line, and its order (section, rank, k1, k2)."""
     counts = items.agg(F.count("*").alias("a")).join(F.broadcast(codes.agg(F.count("*").alias("b"))))  # two single rows
     codes_only = lambda line: F.when(F.col("b") > 0, line)
-    told = ((0, F.format_string(UNMATCHED_TITLE, "a", "b")), (1, F.lit(UNMATCHED_FORMAT)), (2, F.lit("")), (4, codes_only("")), (5, codes_only(CODES_TITLE)))
+    told = ((0, F.format_string(UNMATCHED_TITLE, F.lit(title), "a", "b")), (1, F.lit(UNMATCHED_FORMAT)), (2, F.lit("")), (4, codes_only("")), (5, codes_only(CODES_TITLE)))
     head = lambda section, line: F.struct(F.lit(section).alias("section"), F.lit(0).cast("long").alias("rank"), F.lit("").alias("k1"), F.lit("").alias("k2"), line.alias("line"))
     heads = counts.select(F.explode(F.array(*[head(*x) for x in told])).alias("h")).select("h.*").where("line is not null")
     some = items.select(F.lit(3).alias("section"), (-F.col("n")).alias("rank"), F.col("store").alias("k1"), F.col("raw_name").alias("k2"), F.concat_ws(" | ", "store", "raw_name", F.col("n").cast("string")).alias("line"))
@@ -50,5 +51,5 @@ def unmatched_lines(items: DataFrame, codes: DataFrame) -> DataFrame:
     return heads.unionByName(some).unionByName(rest)
 
 
-def write_unmatched(items: DataFrame, codes: DataFrame, path: str) -> None:
-    unmatched_lines(items, codes).orderBy("section", "rank", "k1", "k2").select("line").write.text(path)
+def write_unmatched(items: DataFrame, codes: DataFrame, path: str, title: str = TITLE) -> None:
+    unmatched_lines(items, codes, title).orderBy("section", "rank", "k1", "k2").select("line").write.text(path)

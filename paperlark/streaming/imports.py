@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlark.operators.ingest import split_new
+from paperlark.sources.shared import checkpoint_dir
 
 
 def watch_folder(spark: SparkSession, path: str, schema: str, files_at_once: int = 64) -> DataFrame:
@@ -31,28 +31,40 @@ def first_seen(stream: DataFrame, key: str = "unique_key") -> DataFrame:
     return keyed.unionByName(stream.where(F.col(key).isNull()))
 
 
-def save_batches(stream: DataFrame, folder: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame]):
-    """Parse each batch and save what is new: every batch is compared with all saved keys and written under its own number, so
-    that a batch that runs again after a failure replaces itself."""
+def save_batches(stream: DataFrame, folder: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], *, rows_col: str = "rows", buckets: int = 256):
+    """Parse each batch and save what is new, under the batch's own number, so that a batch that runs again after a failure
+    replaces itself. Saved keys are kept apart, in ``buckets`` folders by their hash: a batch reads only the buckets that
+    its own keys fall into. Documents with null rows are not parsed; their number and that of each outcome, one row of
+    counters for each batch, go to the folder's ``outcomes``."""
 
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        parsed = parse(batch)
+        bucket = F.pmod(F.xxhash64("unique_key"), F.lit(buckets)).cast("int")
+        readable = F.col(rows_col).isNotNull() if rows_col in batch.columns else F.lit(True)
+        batch = batch.persist()
+        parsed = parse(batch.where(readable)).persist()
         try:
-            stored = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*").where(F.col("batch") != number).select("unique_key")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = spark.createDataFrame([], "unique_key string")
-        split_new(parsed, stored).where("outcome = 'saved'").drop("outcome").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            own = [r.b for r in parsed.where("unique_key is not null").select(bucket.alias("b")).distinct().collect()]  # buckets at most
+            stored = spark.createDataFrame([], "unique_key string, batch long, bucket int")
+            if _exists(spark, f"{folder}/keys"):
+                stored = spark.read.schema("unique_key string, batch long, bucket int").parquet(f"{folder}/keys").where(F.col("bucket").isin(own))
+            judged = split_new(parsed, stored.where(F.col("batch") != number).select("unique_key")).persist()
+            saved = judged.where("outcome = 'saved'").drop("outcome")
+            saved.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            keys = saved.where("unique_key is not null").select("unique_key", bucket.alias("bucket"), F.lit(number).cast("long").alias("batch"))
+            keys.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{folder}/keys")
+            counted = judged.groupBy("outcome").agg(F.count("*").alias("n")).union(batch.where(~readable).groupBy(F.lit("failed")).agg(F.count("*")))
+            counted.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={number}")
+            judged.unpersist()
+        finally:
+            parsed.unpersist(), batch.unpersist()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one; a temporary one only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="paperlark-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def drain_counts(counts: DataFrame) -> DataFrame:

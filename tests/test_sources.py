@@ -45,7 +45,7 @@ def test_batches_save_each_key_once(spark, tmp_path):
     for turn in range(2):
         stream = imports.watch_folder(spark, str(tmp_path / "in"), "seq long, tag string, rows array<string>")
         imports.save_batches(stream, str(tmp_path / "out"), str(tmp_path / "state"), parse_receipts).awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+        assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == 1
         df.withColumn("seq", df.seq + 10).write.mode("overwrite").parquet(str(tmp_path / "in" / "two"))
 
 

@@ -234,6 +234,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         b = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
         return some.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_confirm(p.percent), "a long, b long")
 
+    def few_sent(told: DataFrame) -> DataFrame:
+        """told, cut; broadcast where it has no more rows than broadcast_ids, so that a large group's members stay where they are."""
+        told = cut(told)
+        return F.broadcast(told) if told.count() <= p.broadcast_ids else told
+
     few = sized.where(F.col("k") <= p.small)
     left, right = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
     fits = reaches(F.col("na"), F.col("nb"), F.least("na", "nb"))
@@ -253,10 +258,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         full = cut(full.join(alone, "node", "left").select("node", "bundle", "n", "elements", cap.alias("cap")))
         for _ in range(2):
             # who fits with nobody of the group leaves; each may make others leave
-            sizes = full.groupBy("bundle", F.col("n").alias("m")).agg(F.max("cap").alias("most"))
-            full = full.join(sizes, (full["bundle"] == sizes["bundle"]) & (F.col("m") <= F.col("cap")) & (F.col("n") <= F.col("most")), "left_semi")
+            sizes = few_sent(full.groupBy(F.col("bundle").alias("_bundle"), F.col("n").alias("m")).agg(F.max("cap").alias("most")))
+            full = full.join(sizes, (F.col("bundle") == F.col("_bundle")) & (F.col("m") <= F.col("cap")) & (F.col("n") <= F.col("most")), "left_semi")
         counts = full.groupBy("bundle").agg(F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_elements)).cast("int").alias("blocks"))
-        dealt = full.join(counts, "bundle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = full.join(few_sent(counts), "bundle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("bundle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "elements")
         found = dealt.groupBy("bundle", "i", "j").applyInArrow(_compare(p.percent), "a long, b long")
         links = stars(links.union(found))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlark.llm import kneser_ney
+from paperlark.llm import conversations, kneser_ney, phrases, warc
 from paperlark.llm.bpe import bpe_round_trip
 from paperlark.llm.common import crc_fold, table
 from paperlark.llm.minhash import near_duplicates
@@ -83,6 +83,23 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a record of web archives, read back chunk by chunk."""
+    archives = warc.archives_of(spark, warc.write_archives(table(spark, folder, "pages")))
+    return warc.page_records(warc.read_chunks(archives, with_bytes=False))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 phrases of each language that hold together best."""
+    found, totals = phrases.count_phrases(table(spark, folder, "documents"), least=30)
+    return phrases.collocations(found, totals, top=2000)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation damaged and repaired at the least cost."""
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_qda": op1_quality_qda,
     "op2_png_media": op2_png_media,
@@ -94,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_token_counts": op10_token_counts,
+    "op11_warc_chunks": op11_warc_chunks,
+    "op12_collocations": op12_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -128,4 +148,101 @@ ORACLES: dict[str, str] = {
         select query_id, cast(rank as integer) as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         where rank <= 10""",
+    "op11_warc_chunks": r"""
+        with p as (
+            select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as s, min(page_id) over (partition by coalesce(html, '')) as f from pages
+        )
+        select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes,
+            array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+                lambda b: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((cast('0x' || s[5 * i + 1:5 * i + 5] as bigint) >> b) & 31)]), '')), '') as payload_digest,
+            case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to, cast(null as varchar) as error
+        from p""",
+    "op12_collocations": r"""
+        with p as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+            from documents
+        ), w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p
+        ), g as (
+            select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+            from w, (select unnest([1, 2, 3, 4]) as m) where len(w) >= m
+        ), f as (select lang, m, phrase, count(*) as f from g group by all
+        ), n as (select lang, cast(sum(f) as bigint) as n from f where m = 1 group by lang
+        ), c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30
+        ), longer as (
+            select lang, array_to_string(w[s:s + z - 1], ' ') as phrase, max(a) as most
+            from (select *, unnest(range(1, m - z + 2)) as s from (select *, unnest(range(2, m)) as z from c where m > 2)) group by all
+        ), cuts as (
+            select c.lang, c.phrase, a, k, l.f as l, r.f as r, cast((2000000 :: hugeint * a) // (l.f + r.f) as bigint) as score
+            from (select *, unnest(range(1, m)) as k from c) c
+            join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1:c.m], ' ')
+            left join longer o on o.lang = c.lang and o.phrase = c.phrase where most is null or 100 * most < 80 * a
+        ), worst as (
+            select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        )
+        select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score
+        from worst join n using (lang) qualify rank <= 2000""",
+    "op13_conversation_repair": r"""
+        with recursive table_of as (
+            select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+        ), c as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                xor(list_reduce([4294967295] || list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as bigint)),
+                    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 as kind
+            from conversations, table_of
+        ), damaged as (
+            select conv_id, turn, case kind when 4 then 'user' else role end as role,
+                case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+            from (select * from c union all select * from c where kind = 3) where kind <> 0
+        ), placed as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, text, again) as i, count(*) over (partition by conv_id) as n,
+                regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) as last, role[1:1] as ini
+            from (select *, row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as again from damaged)
+        ), b as (
+            select *, case when last = '' then 1 when again then 2 when last not in ('.', '!', '?') then 3 else 0 end as fault,
+                lag(ini) over (partition by conv_id order by i) as before
+            from placed
+        ), v as (
+            select conv_id, n + 1 as i, 0 as e, 4 as s, 2 as u, 0 as a from b where i = n
+            union all
+            select conv_id, i, least(oe, 2 + least(ou, 2 + oa)), least(os, 2 + least(ou, 2 + oa)), least(ou, 2 + oa), least(oa, 2 + ou) from (
+                select b.conv_id, b.i,
+                    case when fault in (1, 2) then 3 + e else least(3 + e, m + 2 + u, case ini when 's' then m + s when 'u' then m + u else 999999 end) end as oe,
+                    case when fault in (1, 2) then 3 + s else least(3 + s, m + 2 + u, case ini when 'u' then m + u else 999999 end) end as os,
+                    case when fault in (1, 2) then 3 + u else least(3 + u, m + 2 + a, case ini when 'a' then m + a else 999999 end) end as ou,
+                    case when fault in (1, 2) then 3 + a else least(3 + a, m + 2 + u, case ini when 'u' then m + u else 999999 end) end as oa
+                from v join (select *, case fault when 3 then 1 else 0 end as m from b) b on b.conv_id is not distinct from v.conv_id and b.i = v.i - 1
+            )
+        ), steps as (
+            select b.conv_id, b.i, b.role, b.text, b.ini, b.fault not in (1, 2) as stays, case fault when 3 then 1 else 0 end as m,
+                {'e': v.e, 's': v.s, 'u': v.u, 'a': v.a} as h, {'e': x.e, 's': x.s, 'u': x.u, 'a': x.a} as x
+            from b join v on v.conv_id is not distinct from b.conv_id and v.i = b.i join v x on x.conv_id is not distinct from b.conv_id and x.i = b.i + 1
+            union all
+            select conv_id, n + 1, null, null, null, false, 0, {'e': 0, 's': 4, 'u': 2, 'a': 0}, {'e': 999999, 's': 999999, 'u': 999999, 'a': 999999} from b where i = n
+        ), walk as (
+            select conv_id, 1 as i, 'e' as q, '' as audit, [] :: varchar[] as done from b where i = 1
+            union all
+            select conv_id, i + (edit <> 'I') :: int,
+                case edit when 'D' then q when 'K' then ini else f end, audit || edit,
+                case edit when 'D' then done when 'I' then done || [case f when 'u' then 'user:' else 'assistant:' end]
+                    when 'K' then done || [role || ':' || text] else done || [case f when 'u' then 'user:' else 'assistant:' end || text] end
+            from (
+                select w.*, s.role, s.text, s.ini, case q when 'u' then 'a' else 'u' end as f,
+                    case when 3 + case q when 'e' then x.e when 's' then x.s when 'u' then x.u else x.a end = case q when 'e' then h.e when 's' then h.s when 'u' then h.u else h.a end then 'D'
+                        when 2 + case q when 'u' then h.a else h.u end = case q when 'e' then h.e when 's' then h.s when 'u' then h.u else h.a end then 'I'
+                        when stays and (ini = 's' and q = 'e' or ini = 'u' and q in ('e', 's', 'a') or ini = 'a' and q = 'u') and m + case ini when 'e' then x.e when 's' then x.s when 'u' then x.u else x.a end = case q when 'e' then h.e when 's' then h.s when 'u' then h.u else h.a end then 'K'
+                        when stays and m + 2 + case q when 'u' then x.a else x.u end = case q when 'e' then h.e when 's' then h.s when 'u' then h.u else h.a end then 'R' end as edit
+                from walk w join steps s on s.conv_id is not distinct from w.conv_id and s.i = w.i
+            ) where edit is not null
+        ), told as (
+            select conv_id, case when count(turn) = 0 then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps,
+                count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+                count(*) filter (before is not null and before || ini not in ('su', 'ua', 'au')) as illegal
+            from b group by conv_id
+        ), last as (
+            select conv_id, arg_max(audit, len(audit)) as audit, arg_max(done, len(audit)) as done from walk group by conv_id
+        )
+        select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+            coalesce(illegal, 0) as illegal, cast(coalesce(v.e, 0) as bigint) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(done, chr(10)), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o left join told on told.conv_id is not distinct from o.conv_id
+            left join last on last.conv_id is not distinct from o.conv_id left join v on v.conv_id is not distinct from o.conv_id and v.i = 1""",
 }

@@ -115,6 +115,12 @@ class WordBPE:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text; a special string in it has its own id."""
+        if len(self.chunks) > CACHED:
+            self.chunks.clear()
+        return self.encode_known(text)
+
+    def encode_known(self, text: str) -> np.ndarray:
+        """The same; no chunk that is known is forgotten."""
         out = []
         for part in self.split.split(text) if "<" in text else (text,):
             if part in self.special:
@@ -125,8 +131,6 @@ class WordBPE:
             for c in {*chunks}.difference(known) if len(chunks) > 32 else [c for c in chunks if c not in known]:
                 known[c] = self.chunk(c)
             out += map(known.__getitem__, chunks)
-            if len(known) > CACHED:
-                known.clear()
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> str:

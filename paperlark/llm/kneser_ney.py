@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -105,23 +106,38 @@ class Model:
         return -(-shard * n // self.range_shards), -(-(shard + 1) * n // self.range_shards)
 
 
+#: Files that a worker holds mapped; the ones used longest ago go first.
+MAPPED = 400
+#: A bound of the words whose pairs are dealt by the second word too; their numbers go to each task.
+HOT_WORDS = 1_000_000
+
+
+def _place(path: str, kind: str, shard: int) -> str:
+    """Where a shard's file is: at most 4096 in a folder."""
+    return f"{path}/{kind}/{shard >> 12:06d}/{shard:09d}"
+
+
 class Files:
-    """The mapped files of a model."""
+    """The mapped files of a model, a bounded number at a time and one mapping each."""
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
+        self.model, self.open = model, OrderedDict()
 
     def arrays(self, kind: str, shard: int, n: int | None, *types: str) -> list[np.ndarray]:
-        if (kind, shard) not in self.open:
-            path = f"{self.model.path}/{kind}/{shard:06d}"
-            size = os.path.getsize(path) if os.path.exists(path) else 0
-            n = size // sum(np.dtype(t).itemsize for t in types) if n is None else n
-            at, out = 0, []
-            for t in types:
-                out.append(np.memmap(path, t, "r", at, (n,)) if n else np.empty(0, t))
-                at += n * np.dtype(t).itemsize
-            self.open[kind, shard] = out
-        return self.open[kind, shard]
+        if (kind, shard) in self.open:
+            self.open.move_to_end((kind, shard))
+            return self.open[kind, shard]
+        path = _place(self.model.path, kind, shard)
+        data = np.memmap(path, "uint8", "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, "uint8")
+        n = len(data) // sum(np.dtype(t).itemsize for t in types) if n is None else n if len(data) else 0
+        at, out = 0, []
+        for t in types:
+            out.append(data[at : at + n * np.dtype(t).itemsize].view(t))
+            at += n * np.dtype(t).itemsize
+        self.open[kind, shard] = out
+        if len(self.open) > MAPPED:
+            self.open.popitem(last=False)  # unmapped, and its descriptor closed, when no array is left
+        return out
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of sorted distinct hashes, their numbers (-1: unknown) and counts."""
@@ -270,7 +286,7 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
     def write_words(batches):
         for shard, rows in _by_shard(batches):
             k, c = _merged(rows)
-            _write(f"{path}/words/{shard:06d}", k.astype("<u8"), c.astype("<u8"))
+            _write(_place(path, "words", shard), k.astype("<u8"), c.astype("<u8"))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64())], names=["shard", "n", "tokens"])
 
     found = _grouped(runs, parts).mapInArrow(write_words, "shard int, n long, tokens long").collect()
@@ -283,7 +299,7 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
     if model.words >= (1 << 32) - 1:
         raise ValueError("pairs hold 32-bit numbers of words")
     model.pair_shards = max(1 << 6, -(-model.tokens // tokens_per_shard))
-    least = model.tokens // model.pair_shards
+    least = max(model.tokens // model.pair_shards, model.tokens // HOT_WORDS)
 
     def frequent(batches):
         """The numbers of the words that make up more than an even shard: fewer than there are shards."""
@@ -309,7 +325,7 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
         wide = model.words + 1
         for shard, rows in _by_shard(batches):
             k, c = _merged(rows)
-            _write(f"{path}/pairs/{shard:06d}", k.astype("<u8"), np.minimum(c, 0xFFFFFFFF).astype("<u4"))
+            _write(_place(path, "pairs", shard), k.astype("<u8"), np.minimum(c, 0xFFFFFFFF).astype("<u4"))
             v, w = (k >> _32).astype("int64"), (k & _LOW).astype("int64")
             first = np.flatnonzero(np.diff(v, prepend=-1))
             columns = [c, np.ones(len(c), "int64"), *((c == i).astype("int64") for i in range(1, 5))]
@@ -335,7 +351,7 @@ def fit(train: DataFrame, *, text_col: str = "text", tokens_per_shard: int = 1_0
                     word[ids] += cut[1]
                 else:
                     context[:, ids] += cut[1:]
-            _write(f"{path}/numbers/{shard:06d}", context[0].astype("<u8"), *(x.astype("<u4") for x in (context[1], context[2], context[3], word)))
+            _write(_place(path, "numbers", shard), context[0].astype("<u8"), *(x.astype("<u4") for x in (context[1], context[2], context[3], word)))
             times = [int((word == i).sum()) for i in range(1, 5)]
             yield pa.RecordBatch.from_arrays([pa.array([[*context[2:].sum(axis=1).tolist(), *times, int(word.sum()), int((word > 0).sum())]])], names=["sums"])
 

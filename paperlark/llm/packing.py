@@ -46,13 +46,13 @@ class LibraryWords(WordBPE):
         self.library.no_truncation(), self.library.no_padding()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; the library is asked once for all chunks that are new."""
+        """The ids of each text; the library is asked once for all chunks that are new. Nothing is forgotten before the last text is done."""
         known = self.chunks
         if len(known) > LIBRARY_CACHED:
             known.clear()
         cut = [None if "<" in t and self.split.search(t) else self.chunks_of(t) for t in texts]
         self.learn({c for chunks in cut if chunks for c in chunks if c not in known})
-        return [self.encode(t) if chunks is None else np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for t, chunks in zip(texts, cut)]
+        return [self.encode_known(t) if chunks is None else np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for t, chunks in zip(texts, cut)]
 
     def learn(self, new: set[str]) -> None:
         """Ask the library for new chunks. A word of letters and the marks after it are apart in any text, so both are asked

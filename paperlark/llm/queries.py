@@ -137,12 +137,12 @@ ORACLES: dict[str, str] = {
         from s join reach using (doc_id) group by doc_id, s""",
     "op4_voronoi_top_products": """
         with v as (
-            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+            select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
             from embeddings
             where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), s as (
             select q.vec_id as query_id, v.vec_id,
-                cast(list_sum(list_transform(list_zip(q.e, v.e), lambda t: t[1] * t[2])) as bigint) as score
+                cast(coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda t: t[1] * t[2])), 0) as bigint) as score
             from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0
         )
         select query_id, cast(rank as integer) as rank, vec_id, score

@@ -100,20 +100,22 @@ def _sent(pivots: np.ndarray, cells: list[int], groups: np.ndarray, reach: np.nd
 def top_products(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, params: Params = Params()) -> DataFrame:
     """query_id, rank (from 1), id_col and score of each query's k largest products with other rows, ties to smaller ids.
 
-    Components x become floor(scale * x). Vectors that are null, empty or hold null or infinite components or NaN take no
-    part; shorter ones count as ended by zeros. Rows with equal ids count once, with their smallest vector. Fewer
-    than k other rows give fewer results; an empty table none. Products must fit in 64 bits.
+    Components x become floor(scale * x). Vectors that are null or hold null or infinite components or NaN, and rows without
+    an id, take no part; shorter and empty ones count as ended by zeros. Rows of one id and equal vectors count once; of one id
+    and different vectors each is a candidate of the other ids' queries, and as queries they are ranked together under their
+    id. Fewer than k other rows give fewer results; an empty table none. Products must fit in 64 bits.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col)
     whole = F.transform(v, lambda x: F.floor(scale * x.cast("double")).cast("long"))
-    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = (
         vectors.where(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole.alias("w"), is_query.alias("query"))
-        .groupBy("id").agg(F.min("w").alias("w"), F.max("query").alias("query"))
+        .groupBy("id", "w").agg(F.max("query").alias("query"))
     )
     rows = cut(rows)
     dim, n = rows.agg(F.max(F.size("w")), F.count("*")).first()
+    dim = max(1, dim or 0)
     out = f"query_id long, rank int, {id_col} long, score long"
     if not n:
         return spark.createDataFrame([], out)
@@ -131,8 +133,10 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: s
     if not asked:
         return spark.createDataFrame([], out)
     near = Window.partitionBy("cell").orderBy("away", "id")
-    known = dealt.select("cell", "away", "id", "v").withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1).select("v").collect()
-    known = _matrix([bytes(r.v) for r in known], dim)
+    one = dealt.groupBy("cell", "id").agg(F.min(F.struct("away", "v")).alias("m")).select("cell", "id", "m.away", "m.v")
+    known = one.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1).select("id", "v").collect()
+    known = {r.id: bytes(r.v) for r in known}  # one of each id: of k + 1 ids k are not the query's own
+    known = _matrix([*known.values()], dim)
     cells, reach = [r.cell for r in asked], np.array([r.u for r in asked]) * (1 + 1e-9)
     low = _products(pivots[cells], known) - reach[:, None] * np.sqrt((known.astype("float64") ** 2).sum(axis=1))[None, :] * (1 + 1e-9)
     least = np.sort(low, axis=1)[:, -(k + 1)] if len(known) > k else np.full(len(cells), -np.inf)

@@ -103,7 +103,7 @@ def plain_phrases(rows, least, top):
 def test_phrases(spark, patterns):
     rng = random.Random(5)
     words = ["the", "of", "En", "de", "é", "a\xa0b", "\x1c", "ß", "-", "x" * 300, "en", "de"]
-    rows = [("".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ". ", "\n"]) for _ in range(rng.randrange(60))), rng.choice(["en", "de", None, "und", "", "the"])) for _ in range(300)]
+    rows = [("".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ". ", "\n"]) for _ in range(rng.randrange(60))), rng.choice(["en", "de", None, "und", "", "the", "a\n\\n\tb\\"])) for _ in range(300)]
     rows += [(None, "en"), ("", None), ("..;", "xx"), ("the of " * 3000, "en")] + [("same same text", "fr")] * 40
     docs = spark.createDataFrame([(*r, i, "p") for i, r in enumerate(rows)], "text string, lang string, number int, phrase string")
     found, totals = count_phrases(docs.repartition(5), least=12, patterns=patterns)

@@ -51,15 +51,17 @@ def fill_images(items: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def split_new(parsed: DataFrame, stored: DataFrame, order_col: str = "seq") -> DataFrame:
-    """parsed (unique_key, total, items, order_col) with outcome: 'not_receipt', 'duplicate' or 'saved'.
+    """parsed (unique_key, total, items, order_col) with outcome: 'not_receipt', 'duplicate' or 'saved', and stored_id, the
+    smallest id that stored has for the key (null without one, and where stored has no ids).
 
     A receipt has items or a total. Of equal keys the first is saved, unless the key is stored; null keys are never equal.
     """
-    known = stored.where("unique_key is not null").select("unique_key").distinct().withColumn("_stored", F.lit(True))
+    own_id = F.col("id").cast("long") if "id" in stored.columns else F.lit(None).cast("long")
+    known = stored.where("unique_key is not null").groupBy("unique_key").agg(F.min(own_id).alias("stored_id")).withColumn("_stored", F.lit(True))
     readable = (F.size("items") > 0) | F.col("total").isNotNull()
     first = parsed.where(readable & F.col("unique_key").isNotNull()).groupBy("unique_key").agg(F.min(order_col).alias("_first"))
     outcome = F.when(~readable, "not_receipt").when(F.col("unique_key").isNull(), "saved").when(F.col("_stored") | (F.col("_first") < F.col(order_col)), "duplicate").otherwise("saved")
-    return parsed.join(first, "unique_key", "left").join(known, "unique_key", "left").select(*parsed.columns, outcome.alias("outcome"))
+    return parsed.join(first, "unique_key", "left").join(known, "unique_key", "left").select(*parsed.columns, outcome.alias("outcome"), "stored_id")
 
 
 def with_ids(saved: DataFrame, key: Column) -> DataFrame:

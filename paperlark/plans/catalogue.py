@@ -512,8 +512,8 @@ _NAME = "case when length(p_name) % 2 = 1 then upper(p_name) else 'K ' || p_name
 
 @query(_TEXTS + f""", doc as (select seq, unique_key, n, seq % 10 = 3 as broken from keyed union all select seq + 100000000, unique_key, n, false from keyed where seq % 10 = 0),
     told as (select *, case when broken then 'failed' when unique_key in (select unique_key from keyed where seq % 11 = 0) then 'duplicate' when seq = min(seq) filter (not broken) over (partition by unique_key) then 'saved' else 'duplicate' end as outcome from doc),
-    names as (select l_orderkey, min({_NAME}) as first_name, max({_NAME}) as last_name from lines group by 1)
-    select seq, outcome, case when outcome = 'saved' then n else 0 end as n_items, case when outcome = 'saved' then first_name end as first_name, case when outcome = 'saved' then last_name end as last_name from told left join names on l_orderkey = seq % 100000000""", model=False)
+    names as (select l_orderkey, string_agg({_NAME} || ' ' || price || ' ' || off || ' ' || greatest(q, 1), '|' order by p_name, price, off, q) as items from lines group by 1)
+    select seq, outcome, case when outcome = 'saved' then n else 0 end as n_items, case when outcome = 'saved' then items end as items, case when outcome = 'failed' then 'Obrázek se nepodařilo načíst' end as error from told left join names on l_orderkey = seq % 100000000""", model=False)
 def import_flow(spark, d):
     """Every order's receipt imported, some twice, some stored before, some unreadable: outcomes and the named items that are saved."""
     texts = _receipt_texts(spark, d)
@@ -521,8 +521,10 @@ def import_flow(spark, d):
     docs = texts.select("seq", F.when(F.col("seq") % 10 != 3, F.col("rows")).alias("rows")).union(texts.where("seq % 10 = 0").select(F.col("seq") + 100000000, "rows"))
     none = spark.createDataFrame([], schemas.ITEMS)
     out = flows.import_documents(docs, stored, none, *_named(spark, d))
-    items = out["items"].groupBy(F.col("receipt_id").alias("saved_id")).agg(F.count("*").alias("n_items"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
-    return out["outcomes"].join(items, "saved_id", "left").select("seq", "outcome", F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_name", "last_name")
+    shown = F.concat_ws(" ", "name", *[F.col(c).cast("string") for c in ("price", "discount")], F.col("quantity").cast("int").cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct("raw_name", "price", "discount", "quantity", shown.alias("shown"))))  # of one receipt
+    items = out["items"].groupBy(F.col("receipt_id").alias("saved_id")).agg(F.count("*").alias("n_items"), F.array_join(F.transform(rows, lambda x: x["shown"]), "|").alias("items")).withColumn("outcome", F.lit("saved"))
+    return out["outcomes"].join(items, ["saved_id", "outcome"], "left").select("seq", "outcome", F.coalesce("n_items", F.lit(0)).alias("n_items"), "items", "error")
 
 
 @query(_TEXTS + "select seq as id, case when seq % 3 = 0 then 'Jinde' else 'Lidl' end as store, case when seq % 3 = 0 then 5 else total end as total, 'R' || seq as receipt_number, case when seq % 3 = 0 then 1 else n end as n_items, case when seq % 3 = 0 then 'old' end as name from keyed", model=False)

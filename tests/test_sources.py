@@ -12,11 +12,35 @@ def test_catalog(spark, tmp_path):
     lines = ["", "// note", "{broken", json.dumps({"id": "1"}), json.dumps({"id": "1", "name": "Mléko", "store": "Lidl", "category": "MLECNE", "eans": ["00123", "x1"], "aliases": [" Mleko "]}), json.dumps({"id": "1", "name": "Mléko plné", "category": "?", "eans": ["00123"]})]
     (tmp_path / "a.jsonl").write_text("\n".join(lines))
     found = catalog.read_catalog(spark, str(tmp_path))
-    assert [(r.product_id, r.name, r.category) for r in found["products"].collect()] == [("a.jsonl:1", "Mléko plné", "OSTATNI")]
+    assert [(r.product_id, r.name, r.category) for r in found["products"].collect()] == [("a:1", "Mléko plné", "OSTATNI")]
     assert [r.ean for r in found["eans"].collect()] == ["00123"]
     assert [(r.store, r.alias) for r in found["aliases"].collect()] == [("lidl", "Mleko")]
 
 
+def test_files_by_name_whatever_their_size(spark, tmp_path):
+    one = lambda k, **more: json.dumps({"id": str(k), "name": f"n{k}", "store": " Lidl ", "category": " mlecne ", "eans": ["77"], "aliases": ["same"], **more})
+    for turn, (small, large) in enumerate((("a", "b"), ("b", "a"))):
+        folder = tmp_path / str(turn)
+        folder.mkdir()
+        (folder / f"{small}.jsonl").write_text(one(1))
+        (folder / f"{large}.jsonl").write_text("\n".join(one(k) for k in range(60)))
+        found = catalog.read_catalog(spark, str(folder))
+        last = "b:1" if small == "b" else "b:59"
+        assert [tuple(r) for r in found["eans"].collect()] == [("77", last)] and [tuple(r) for r in found["aliases"].collect()] == [("lidl", "same", last)]
+        row = found["products"].where("product_id = 'b:1'").first()
+        assert (row.store, row.category) == ("Lidl", "MLECNE")
+
+
+def test_lines_of_one_file_in_many_splits(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("\n".join(json.dumps({"id": "1", "name": f"n{k:05}", "eans": ["5"]}) for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = catalog.read_catalog(spark, str(tmp_path))
+        assert [r.name for r in found["products"].collect()] == ["n02999"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_words(spark, tmp_path):
     (tmp_path / "r1.tsv").write_text('1\t2\t3\t4\tahoj "x\n')
     (r,) = catalog.read_words(spark, str(tmp_path)).collect()

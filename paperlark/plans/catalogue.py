@@ -5,6 +5,7 @@ Each query applies one operator to whole benchmark tables that stand in for the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ from paperlark.operators import ingest as I
 from paperlark.operators import matching as M
 from paperlark.operators import receipts as R
 from paperlark.plans import standins as S
-from paperlark.sources import exports, schemas
+from paperlark.sources import catalog, exports, schemas
+from paperlark.sources.shared import checkpoint_dir
+from paperlark.sources.snapshots import write_snapshot
 from paperlark.streaming import imports as streams
+from paperlark.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -630,3 +634,53 @@ def rows_of_lines(spark, d):
     place = lambda c: c.cast("float")
     words = words.select("doc_id", F.xxhash64("line", "k").alias("seq"), "text", place(x).alias("left"), place(y).alias("top"), place(x + 50).alias("right"), place(y + 20).alias("bottom"), place(F.lit(0)).alias("angle"))
     return R.build_rows(words).select("doc_id", F.array_join("rows", "\n").alias("rows"))
+
+
+# --- live reports and catalog files
+
+
+@query("""select * from (with after as (select *, price + case when receipt_id % 5 = 0 then 100 else 0 end - discount as final from bought where receipt_id % 7 <> 0)
+    select 'product' as kind, name as key, count(*) as n, cast(sum(final) as bigint) as spent, arg_max(final, lpad(cast(purchased_at as varchar), 20, '0') || id) as last_price, max(purchased_at) as last_at, min(category) as category, min(raw_key) as raw_key from after group by name
+    union all select 'category', category, count(*), cast(sum(final) as bigint), null, null, null, null from after group by category
+    union all select 'since', category, count(*), cast(sum(final) as bigint), null, null, null, null from after where purchased_at >= 852076800000 group by category
+    union all select 'month', strftime(make_timestamp(purchased_at * 1000), '%Y-%m'), count(*), cast(sum(total) as bigint), null, null, null, null from receipts where id % 7 <> 0 group by 2
+    union all select 'saved', null, count(*), cast(sum(total_discount) as bigint), null, null, null, null from receipts where id % 7 <> 0)""")
+def live_reports(spark, d):
+    """Reports kept as sums while every fifth receipt's prices are raised and every seventh receipt goes."""
+    bought = A.with_receipts(S.items(spark, d), S.receipts(spark, d)).select("id", "receipt_id", "name", "raw_key", "category", "price", "discount", "purchased_at")
+    told = S.receipts(spark, d).select("id", "purchased_at", "total", "total_discount")
+    signed = lambda df, sign: df.withColumn("sign", F.lit(sign))
+    folder = checkpoint_dir(spark)
+    write_snapshot(folder, live.fold_changes(live.empty_views(spark), signed(bought, 1), signed(told, 1), bought))
+    raised = F.col("price") + F.when(F.col("receipt_id") % 5 == 0, 100).otherwise(0)
+    after = bought.where("receipt_id % 7 <> 0").withColumn("price", raised)
+    change = signed(bought.where("receipt_id % 5 = 0 or receipt_id % 7 = 0"), -1).unionByName(signed(after.where("receipt_id % 5 = 0"), 1))
+    write_snapshot(folder, live.fold_changes(live.read_views(spark, folder), change, signed(told.where("id % 7 = 0"), -1), after), 1)
+    views = live.read_views(spark, folder)
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("last_price", "long"), ("last_at", "long"), ("category", "string"), ("raw_key", "string"))]
+    shown = lambda df, kind, key, n="n", spent="spent": df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(n).alias("n"), F.col(spent).alias("spent"), *none)
+    products = live.live_products(views).select(F.lit("product").alias("kind"), F.col("name").alias("key"), "n", "spent", "last_price", "last_at", "category", "raw_key")
+    saved = views["receipts"].agg(F.sum("n").alias("n"), F.sum("total_discount").alias("spent")).withColumn("key", F.lit(None).cast("string"))
+    months = views["receipts"].groupBy("month").agg(F.sum("n").alias("n"), F.sum("total").alias("spent"))
+    parts = [products, shown(live.live_categories(views), "category", "category"), shown(live.live_categories(views, "1997-01-01"), "since", "category"), shown(months, "month", "month"), shown(saved, "saved", "key")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("""with r as (select replace(p_brand, '#', '') as file, replace(p_brand, '#', '') || ':' || p_partkey as id, p_name, p_partkey, p_size, case when p_partkey % 3 = 0 then 'MLECNE' else 'OSTATNI' end as category from part)
+    select 'product' as kind, id as key, p_name as name, category, case when p_partkey % 2 = 0 then 'Lidl' end as store from r
+    union all select 'ean', cast(1000 + p_size as varchar), arg_max(id, rpad(file, 20, ' ') || lpad(cast(p_partkey as varchar), 12, '0')), null, null from r group by p_size
+    union all select 'alias', p_name, arg_max(id, rpad(file, 20, ' ') || lpad(cast(p_partkey as varchar), 12, '0')), null, case when p_partkey % 2 = 0 then 'lidl' else '' end from r group by p_name, 5""", model=False)
+def catalog_files(spark, d):
+    """Every part as a record of a catalog's JSON-lines files, one a brand, read back: products, and the last record of each code and alias."""
+    folder, part = checkpoint_dir(spark), S.table(spark, d, "part")
+    record = F.struct(
+        F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit(" "), "p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, " Lidl").alias("store"),
+        F.when(F.col("p_partkey") % 3 == 0, " mlecne").otherwise("nic").alias("category"), F.array((1000 + F.col("p_size")).cast("string"), F.lit("x1")).alias("eans"), F.array("p_name", F.lit(" ")).alias("aliases"),
+    )
+    lines = part.select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("file"), "p_partkey", F.to_json(record).alias("value"))
+    catalog.write_lines(lines, folder, order_col="p_partkey")
+    found = catalog.read_catalog(spark, folder)
+    none = F.lit(None).cast("string")
+    products = found["products"].select(F.lit("product").alias("kind"), F.col("product_id").alias("key"), "name", "category", "store")
+    eans = found["eans"].select(F.lit("ean").alias("kind"), F.col("ean").alias("key"), F.col("product_id").alias("name"), none.alias("category"), none.alias("store"))
+    return products.unionByName(eans).unionByName(found["aliases"].select(F.lit("alias").alias("kind"), F.col("alias").alias("key"), F.col("product_id").alias("name"), none.alias("category"), "store"))

@@ -9,22 +9,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The first and the last Hangul syllable.
+HANGUL = ("\uac00", "\ud7a3")
+
+
 @lru_cache(1)
-def _folding() -> tuple[str, str, str]:
-    """Accented lower-case Latin letters, their base letters, and the combining marks: made from the Unicode tables."""
-    pairs = {}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base != chr(code):
-            pairs[chr(code)] = base
-    marks = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.category(chr(c)) == "Mn")
-    return "".join(pairs), "".join(pairs.values()), marks
+def _folding() -> tuple[str, str, str, dict[str, str]]:
+    """Of all letters that decompose: those with one sign without marks, these signs, and the marks to drop; and those with several
+    signs (Hangul syllables aside, which follow a rule). Made from the Unicode tables."""
+    pairs, marks, several = {}, [], {}
+    for code in range(0x110000):
+        sign = chr(code)
+        if unicodedata.category(sign) == "Mn":
+            marks.append(sign)
+        elif unicodedata.decomposition(sign) and not 0xAC00 <= code <= 0xD7A3:
+            base = "".join(c for c in unicodedata.normalize("NFD", sign) if unicodedata.category(c) != "Mn")
+            if len(base) == 1 and base != sign:
+                pairs[sign] = base
+            elif base != sign:
+                several[sign] = base
+    return "".join(pairs), "".join(pairs.values()), "".join(marks), several
+
+
+def _sign(code: Column) -> Column:
+    """The sign of a code below 0x10000."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def _jamo(syllable: Column) -> Column:
+    """A Hangul syllable as its two or three letters, by the standard's arithmetic."""
+    k = F.ascii(syllable) - 0xAC00
+    last = k % 28
+    return F.concat(_sign(0x1100 + F.floor(k / 588)), _sign(0x1161 + F.floor((k % 588) / 28)), F.when(last > 0, _sign(0x11A7 + last)).otherwise(""))
+
+
+def drop_marks(text: Column) -> Column:
+    """Marks dropped and letters of one base made it: all that matters where only Latin letters are looked for."""
+    accented, base, marks, _ = _folding()
+    return F.translate(text, accented + marks, base)
 
 
 def strip_diacritics(text: Column) -> Column:
-    """Latin letters without their marks; combining marks are dropped. Letters that have no base, as ß, stay."""
-    accented, base, marks = _folding()
-    return F.translate(text, accented + marks, base)
+    """Letters of every script without their marks: the canonical decomposition without nonspacing marks. Letters that have no
+    base, as ß, stay; spacing marks that follow one another keep the order of the text."""
+    several, plain = _folding()[3], drop_marks(text)
+    whole = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    each = F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(whole, c), F.when(c.between(HANGUL[0], HANGUL[1]), _jamo(c)), c))
+    return F.when(plain.rlike(f"[{HANGUL[0]}-{HANGUL[1]}{''.join(several)}]"), F.array_join(each, "")).otherwise(plain)
 
 
 def normalize_row(row: Column) -> Column:

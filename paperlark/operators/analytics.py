@@ -177,10 +177,45 @@ def import_outcomes(outcomes: DataFrame) -> DataFrame:
     )
 
 
+#: Groups of more distinct values than an even share of MEDIAN_SHARES, and than MEDIAN_FEW, are narrowed down instead of sorted.
+MEDIAN_SHARES, MEDIAN_FEW, MEDIAN_BINS = 10_000, 100_000, 256
+
+
 def upper_median(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Of each group the element in the upper middle of the sorted values, nulls aside; equal values are one row with a count."""
+    """Of each group the element in the upper middle of the sorted values, nulls aside; equal values are one row with a count.
+
+    Small groups are summed up in order. For the large ones, MEDIAN_SHARES of them at most, the range that holds the middle is
+    narrowed down: all their values are counted in bins where they are, by tasks that know the groups' ranges, until one value
+    is left. So no group's values meet in one task. The column is numeric; a group of nulls has a null.
+    """
     counted = df.groupBy(*keys, F.col(column).alias("_value")).agg(F.count(column).alias("_n"))
+    kind = counted.schema["_value"].dataType.simpleString()
+    sizes = counted.groupBy(*keys).agg(F.count("_value").alias("_distinct"), F.sum("_n").alias("_all"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    least = max(MEDIAN_FEW, (sizes.agg(F.sum("_distinct")).first()[0] or 0) // MEDIAN_SHARES)
+    large = sizes.where(F.col("_distinct") > least).select(*keys, "_low", "_high", F.expr("_all div 2").alias("_skip")).collect()
+    spark, names = df.sparkSession, [f"_k{i}" for i in range(len(keys))]
+    same = " and ".join(f"`{k}` <=> {n}" for k, n in zip(keys, names)) or "true"
+    schema = ", ".join([f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys)] + [f"_low {kind}", f"_high {kind}", "_skip long"])
+    ranges = lambda rows: F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema))  # noqa: E731  MEDIAN_SHARES rows at most
+    small = counted.join(ranges(large).select(*names), F.expr(same), "left_anti") if large else counted
     group = Window.partitionBy(*keys)
     upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    passed = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
-    return passed.groupBy(*keys).agg(F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("_value"))).alias("upper_median"))
+    passed = small.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
+    found = passed.groupBy(*keys).agg(F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("_value"))).alias("upper_median"))
+    done = []
+    while large:
+        done += [r for r in large if r[-3] == r[-2]]
+        if not (large := [r for r in large if r[-3] != r[-2]]):
+            break
+        width = F.col("_high").cast("double") / MEDIAN_BINS - F.col("_low").cast("double") / MEDIAN_BINS
+        share = F.least(F.lit(MEDIAN_BINS - 1), F.floor((F.col("_value").cast("double") - F.col("_low").cast("double")) / width).cast("int"))
+        # the least value has a bin of its own, so that every round narrows
+        bin_ = F.when(F.col("_value") == F.col("_low"), -1).otherwise(F.coalesce(share, F.lit(0)))
+        inside = counted.where("_value is not null").join(ranges(large), F.expr(f"{same} and _value between _low and _high")).select(*names, bin_.alias("_bin"), "_value", "_n", "_skip")
+        bins = inside.groupBy(*names, "_bin", "_skip").agg(F.sum("_n").alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+        upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # MEDIAN_BINS + 1 rows of a group
+        hit = bins.withColumn("_upto", upto).where("_upto > _skip and _upto - _n <= _skip")
+        large = hit.select(*names, "_low", "_high", (F.col("_skip") - F.col("_upto") + F.col("_n")).alias("_skip")).collect()
+    if not done:
+        return found
+    return found.unionByName(ranges(done).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_low").alias("upper_median")))

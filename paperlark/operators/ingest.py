@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlark.functions.names import categorize_tags
+
 #: Cents by which items may differ from the total when a stored receipt is checked again.
 CHECK_TOLERANCE = 100
 
@@ -95,16 +97,57 @@ def next_position(items: DataFrame) -> DataFrame:
     return items.groupBy("receipt_id").agg((F.coalesce(F.max("position"), F.lit(-1)) + 1).alias("position"))
 
 
+#: The hosts in the order in which they are asked, what a product from each is marked with, and the mark of the catalog's.
+HOSTS = ("Open Food Facts", "Open Beauty Facts", "Open Products Facts")
+CATALOG_MARK = "Katalog"
+PRODUCT = ("name", "brand", "quantity", "category", "image_url", "nutriscore", "ingredients")
+_ANSWER = (
+    "status int, product struct<product_name_cs:string,product_name:string,generic_name_cs:string,generic_name:string,brands:string,quantity:string,categories_tags:array<string>,"
+    "image_front_url:string,image_front_small_url:string,nutriscore_grade:string,ingredients_text_cs:string,ingredients_text:string>, _broken string"
+)
+
+
+def read_answers(answers: DataFrame) -> DataFrame:
+    """Hosts' answers (code, host_rank, body) -> code, host_rank, status, the fields of a product, mark (where it is from) and broken.
+
+    The name is the first of four fields that says something. A null body is a host that did not answer; broken: it is no JSON.
+    """
+    r = F.from_json("body", _ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = answers.select("code", "host_rank", "body", r.alias("r"))
+    field = lambda c: F.nullif(F.trim(F.col(f"r.product.{c}")), F.lit(""))
+    said = lambda *names: F.coalesce(*[F.when(F.trim(F.col(f"r.product.{c}")) != "", F.col(f"r.product.{c}")) for c in names])
+    name = F.coalesce(*map(field, ("product_name_cs", "product_name", "generic_name_cs", "generic_name")))
+    grade = F.col("r.product.nutriscore_grade")
+    return rows.select(
+        "code", "host_rank", F.col("r.status").alias("status"), name.alias("name"), said("brands").alias("brand"), said("quantity").alias("quantity"),
+        categorize_tags(F.coalesce("r.product.categories_tags", F.array().cast("array<string>")), F.coalesce(name, F.lit(""))).alias("category"), said("image_front_url", "image_front_small_url").alias("image_url"),
+        F.when(F.length(grade) == 1, grade).alias("nutriscore"), said("ingredients_text_cs", "ingredients_text").alias("ingredients"), F.get(F.lit(list(HOSTS)), F.col("host_rank").cast("int")).alias("mark"),
+        (F.col("body").isNotNull() & (F.col("r").isNull() | F.col("r._broken").isNotNull())).alias("broken"),
+    )
+
+
 def look_up(codes: DataFrame, products: DataFrame, catalog: DataFrame, eans: DataFrame, online: DataFrame) -> DataFrame:
-    """codes(code) with name, category and source: the saved product, else the catalog's, else what online hosts told
-    (code, host_rank, status, name, category; the first host with status 1 and a name). Source 'unknown' where none knows it."""
-    told = online.where((F.col("status") == 1) & (F.trim("name") != "")).groupBy("code").agg(F.min_by(F.struct("name", "category"), "host_rank").alias("o"))
-    local = products.select(F.col("barcode").alias("code"), F.struct("name", "category").alias("p"))
-    listed = eans.join(catalog, "product_id").select(F.col("ean").alias("code"), F.struct("name", "category").alias("c"))
+    """codes(code) with the fields of a product, source, mark, linked_raw_key and offline: the saved product, else the catalog's, else
+    what online hosts told (code, host_rank, status and more, as ``read_answers`` gives them; the first host with status 1 and a name).
+
+    A code with force_online takes the online answer, if there is one, before all others, and keeps the saved link. Source is
+    'unknown' where none knows it. offline: an online answer was needed and a host gave none that can be read before any other hit.
+    """
+    has = lambda df, c, kind="string": F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+    fields = lambda df, mark: F.struct(*[has(df, c).alias(c) for c in PRODUCT], mark.alias("mark"), has(df, "linked_raw_key").alias("linked_raw_key"))
+    broken = F.coalesce(has(online, "broken", "boolean"), F.lit(False))
+    hit = (F.col("status") == 1) & (F.trim("name") != "")
+    first = F.struct(broken.alias("broken"), fields(online, has(online, "mark")).alias("o"))
+    told = online.where(hit | broken).groupBy("code").agg(F.min_by(first, "host_rank").alias("_f")).select("code", F.when(~F.col("_f.broken"), F.col("_f.o")).alias("o"), F.col("_f.broken").alias("_off"))
+    local = products.select(F.col("barcode").alias("code"), fields(products, has(products, "source")).alias("p"))
+    shop = has(catalog, "store")
+    listed = eans.join(catalog, "product_id").select(F.col("ean").alias("code"), fields(catalog, F.concat(F.lit(CATALOG_MARK), F.coalesce(F.concat(F.lit(" ("), shop, F.lit(")")), F.lit("")))).alias("c"))
     found = codes.join(local, "code", "left").join(listed, "code", "left").join(told, "code", "left")
-    best = F.coalesce("p", "c", "o")
-    source = F.when(F.col("p").isNotNull(), "local").when(F.col("c").isNotNull(), "catalog").when(F.col("o").isNotNull(), "online").otherwise("unknown")
-    return found.select("code", best["name"].alias("name"), best["category"].alias("category"), source.alias("source"))
+    forced = F.coalesce(has(codes, "force_online", "boolean"), F.lit(False))
+    best = F.when(forced & F.col("o").isNotNull(), F.col("o")).otherwise(F.coalesce("p", "c", "o"))
+    source = F.when(forced & F.col("o").isNotNull(), "online").when(F.col("p").isNotNull(), "local").when(F.col("c").isNotNull(), "catalog").when(F.col("o").isNotNull(), "online").otherwise("unknown")
+    asked = forced | (F.col("p").isNull() & F.col("c").isNull())
+    return found.select("code", *[best[c].alias(c) for c in PRODUCT], best["mark"].alias("mark"), F.col("p.linked_raw_key").alias("linked_raw_key"), source.alias("source"), (asked & F.coalesce("_off", F.lit(False))).alias("offline"))
 
 
 def first_wins(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:

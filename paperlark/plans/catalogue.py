@@ -16,6 +16,7 @@ from paperlark.functions.name_tables import KNOWN_NAMES
 from paperlark.operators import analytics as A
 from paperlark.operators import flows
 from paperlark.operators import ingest as I
+from paperlark.operators import long_receipts as L
 from paperlark.operators import matching as M
 from paperlark.operators import receipts as R
 from paperlark.plans import standins as S
@@ -502,6 +503,16 @@ def receipt_texts(spark, d):
     )
 
 
+@query(_TEXTS + "select seq, 'Lidl' as store, branch, epoch_ms(moment) as purchased_at, total, off as total_discount, 'Hotovost' as payment, unique_key, n as n_items, s as items_sum, q as pieces, case when s <> total then 1 else 0 end as n_warnings from keyed", model=False)
+def receipt_lines(spark, d):
+    """The same receipts as rows of lines, parsed without gathering a document."""
+    lines = _receipt_texts(spark, d).select("seq", F.posexplode("rows").alias("line_no", "line"))
+    found, items = L.parse_lines(lines, doc_col="seq")
+    pieces = items.groupBy("seq").agg(F.sum("quantity").alias("pieces"))
+    moment = dates.to_millis(F.col("purchased_at")).alias("purchased_at")
+    return found.join(pieces, "seq").select("seq", "store", "branch", moment, "total", "total_discount", "payment", "unique_key", "n_items", "items_sum", "pieces", F.size("warnings").alias("n_warnings"))
+
+
 def _named(spark, d):
     """Mappings for every other part's name, and a catalog that knows the rest by brand."""
     known = S.table(spark, d, "part").groupBy("p_name").agg(F.min("p_brand").alias("brand"))
@@ -684,3 +695,55 @@ def catalog_files(spark, d):
     products = found["products"].select(F.lit("product").alias("kind"), F.col("product_id").alias("key"), "name", "category", "store")
     eans = found["eans"].select(F.lit("ean").alias("kind"), F.col("ean").alias("key"), F.col("product_id").alias("name"), none.alias("category"), none.alias("store"))
     return products.unionByName(eans).unionByName(found["aliases"].select(F.lit("alias").alias("kind"), F.col("alias").alias("key"), F.col("product_id").alias("name"), none.alias("category"), "store"))
+
+
+@query("""select * from (with told as (
+        select p_partkey as code, p_size, case p_size % 4 when 0 then null when 1 then ' ' || p_name else p_name end as cs, p_name, p_brand, p_type, p_partkey % 3 as host from part),
+    o as (select code, coalesce(trim(cs), 'G ' || p_name) as name, case when p_size % 2 = 0 then p_brand end as brand, case when p_size % 3 = 0 then p_size || ' g' end as quantity,
+        case when p_size % 5 = 0 then 'MLECNE' else '-' end as category, case when p_size % 3 = 1 then 'big/' || code when p_size % 3 = 2 then 'small/' || code end as image_url, case when p_size % 2 = 0 then 'b' end as nutriscore, 'I ' || p_type as ingredients,
+        ['Open Food Facts', 'Open Beauty Facts', 'Open Products Facts'][host + 1] as mark, p_size % 7 = 3 and host > 0 as broken, p_size % 11 = 5 as silent from told),
+    f as (select t.*, o.* exclude (code), t.p_size <= 20 as saved, t.p_size between 15 and 30 as listed, t.p_size % 6 = 0 as forced, not broken and not silent as ok from told t join o using (code))
+    select cast(code as varchar) as code, case when forced and ok then 'online' when saved then 'local' when listed then 'catalog' when ok then 'online' else 'unknown' end as source,
+        case when forced and ok then name when saved then 'L ' || p_name when listed then 'C ' || p_name when ok then name end as name,
+        case when forced and ok then brand when saved then null when listed then p_brand when ok then brand end as brand, case when forced and ok then quantity when saved then null when listed then '1 l' when ok then quantity end as quantity,
+        case when forced and ok then image_url when saved then null when listed then 'cat/' || code when ok then image_url end as image_url, case when forced and ok or not saved and not listed and ok then nutriscore end as nutriscore,
+        case when forced and ok or not saved and not listed and ok then ingredients end as ingredients, case when forced and ok then mark when saved then 'old' when listed then 'Katalog (Lidl)' when ok then mark end as mark,
+        case when saved then 'k' || code end as linked_raw_key, (forced or not saved and not listed) and broken as offline,
+        case when forced and ok or not saved and not listed and ok then case category when 'MLECNE' then 'yes' else 'no' end end as by_tag
+    from f)""", model=False)
+def scan_answers(spark, d):
+    """Every part's code looked up in saved products, a catalog and the JSON answers of three hosts, some forced online, some broken or silent."""
+    part = S.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("code"), "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    size, host = F.col("p_size"), F.col("p_partkey") % 3
+    body = F.to_json(F.struct(
+        F.lit(1).alias("status"), F.struct(
+            F.when(size % 4 == 1, F.concat(F.lit(" "), "p_name")).when(size % 4 != 0, F.col("p_name")).alias("product_name_cs"), F.lit(" ").alias("product_name"), F.concat(F.lit("G "), "p_name").alias("generic_name"),
+            F.when(size % 2 == 0, F.col("p_brand")).alias("brands"), F.when(size % 3 == 0, F.concat(size.cast("string"), F.lit(" g"))).alias("quantity"), F.when(size % 5 == 0, F.array(F.lit("en:dairies"))).alias("categories_tags"),
+            F.when(size % 3 == 1, F.concat(F.lit("big/"), "code")).alias("image_front_url"), F.when(size % 3 == 2, F.concat(F.lit("small/"), "code")).alias("image_front_small_url"),
+            F.when(size % 2 == 0, "b").otherwise("unknown").alias("nutriscore_grade"), F.concat(F.lit("I "), "p_type").alias("ingredients_text"),
+        ).alias("product"),
+    ))
+    none = F.when(size % 11 == 5, F.lit(None)).otherwise(F.lit('{"status": 0}'))
+    said = [F.when((size % 7 == 3) & (host > k), F.lit("{broken")).when((host == k) & (size % 11 != 5), body).otherwise(none) for k in range(3)]
+    answers = part.select("code", F.posexplode(F.array(*said)).alias("host_rank", "body"))
+    field = lambda **c: part.select(*[x.cast("string").alias(k) for k, x in c.items()], "p_size")
+    products = field(barcode=F.col("code"), name=F.concat(F.lit("L "), "p_name"), source=F.lit("old"), linked_raw_key=F.concat(F.lit("k"), "code")).where("p_size <= 20")
+    catalog = field(product_id=F.col("code"), store=F.lit("Lidl"), name=F.concat(F.lit("C "), "p_name"), brand=F.col("p_brand"), quantity=F.lit("1 l"), image_url=F.concat(F.lit("cat/"), "code")).where("p_size between 15 and 30")
+    found = I.look_up(part.select("code", (size % 6 == 0).alias("force_online")), products, catalog, catalog.select(F.col("product_id").alias("ean"), "product_id"), I.read_answers(answers))
+    return found.select("code", "source", "name", "brand", "quantity", "image_url", "nutriscore", "ingredients", "mark", "linked_raw_key", "offline", F.when(F.col("source") == "online", F.when(F.col("category") == "MLECNE", "yes").otherwise("no")).alias("by_tag"))
+
+
+@query("""select * from (with gone as (select id from items where position = 2 and receipt_id % 3 = 0), edited as (select id, price + 500 as price from items where position = 1 and receipt_id % 5 = 0), more as (select id as receipt_id, 1234 as price from receipts where id % 7 = 0),
+    now as (select receipt_id, coalesce(e.price, i.price) - discount as final from items i left join edited e using (id) where id not in (select id from gone) union all select receipt_id, price from more),
+    sums as (select receipt_id, cast(sum(final) as bigint) as s from now group by 1), touched as (select receipt_id from items where id in (select id from gone union all select id from edited) union select receipt_id from more)
+    select r.id, case when r.id in (select receipt_id from touched) then case when abs(coalesce(s, 0) - total) > 100 then 'differs' end else warning end as warning, coalesce(s, 0) as items_sum from receipts r left join sums on receipt_id = r.id)""")
+def edit_warnings(spark, d):
+    """Items deleted, edited and added: the warnings of their receipts are made anew, the others stay."""
+    items, receipts = S.items(spark, d), S.receipts(spark, d)
+    gone = items.where("position = 2 and receipt_id % 3 = 0").select("id")
+    edits = items.where("position = 1 and receipt_id % 5 = 0").select("id", (F.col("price") + 500).alias("price")).distinct()
+    added = receipts.where("id % 7 = 0").select(F.col("id").alias("receipt_id"), F.lit("Sáček").alias("name"), F.lit(1234).cast("long").alias("price"), F.lit("OSTATNI").alias("category"), F.lit(1).cast("long").alias("seq"))
+    now, after, _ = flows.change_items(receipts, items, S.mappings(spark, d), edits=edits, added=added, deleted=gone)
+    sums = after.groupBy(F.col("receipt_id").alias("id")).agg(F.sum(A.final_price()).alias("s"))
+    shown = F.when(F.startswith("warning", F.lit("Součet")), F.lit("differs")).otherwise(F.col("warning"))
+    return now.join(sums, "id", "left").select("id", shown.alias("warning"), F.coalesce("s", F.lit(0)).alias("items_sum"))

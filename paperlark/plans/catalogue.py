@@ -19,6 +19,7 @@ from paperlark.operators import ingest as I
 from paperlark.operators import long_receipts as L
 from paperlark.operators import matching as M
 from paperlark.operators import receipts as R
+from paperlark.operators.row_lines import row_lines
 from paperlark.plans import standins as S
 from paperlark.sources import catalog, exports, schemas
 from paperlark.sources.shared import checkpoint_dir
@@ -747,3 +748,18 @@ def edit_warnings(spark, d):
     sums = after.groupBy(F.col("receipt_id").alias("id")).agg(F.sum(A.final_price()).alias("s"))
     shown = F.when(F.startswith("warning", F.lit("Součet")), F.lit("differs")).otherwise(F.col("warning"))
     return now.join(sums, "id", "left").select("id", shown.alias("warning"), F.coalesce("s", F.lit(0)).alias("items_sum"))
+
+
+@query(r"""select doc_id, unnest(generate_series(0, len(l) - 1)) as line_no, unnest(l) as line from (select doc_id,
+    list_filter(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_filter(regexp_split_to_array(l, '[ \t\r\f\v]+'), lambda w: w <> ''), ' ')), lambda l: l <> '') as l from documents)""", model=False)
+def lines_of_slanted_words(spark, d):
+    """Every document's words placed line by line on a page turned by five degrees, out of order, and put together as lines again."""
+    lines = S.dealt(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("l", r"[ \t\r\f\x0B]+"), lambda w: w != "")).alias("k", "text"))
+    # a long line would leave its row by the roundings of single precision: words stand close, lines far apart
+    x, y = F.col("k") * 2.0, F.col("line") * 40.0
+    turn = F.radians(F.lit(5.0))
+    cx, cy = x * F.cos(turn) - y * F.sin(turn), x * F.sin(turn) + y * F.cos(turn)
+    place = lambda c: c.cast("float")
+    words = words.select("doc_id", F.xxhash64("line", "k").alias("seq"), F.concat("text", F.lit("")).alias("text"), place(cx - 1).alias("left"), place(cy - 10).alias("top"), place(cx + 1).alias("right"), place(cy + 10).alias("bottom"), place(F.lit(5.0)).alias("angle"))
+    return row_lines(words)

@@ -41,7 +41,7 @@ def op1_quality_qda(spark: SparkSession, folder: str) -> DataFrame:
 def op2_png_media(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a PNG, read back and hashed."""
     found = media_table(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "hash", "error")
 
 
 def op3_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:

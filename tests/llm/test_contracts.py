@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 SCORED = {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
 CONTRACT = {
     "op1_quality_qda": SCORED,
-    "op2_png_media": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
+    "op2_png_media": {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "hash": "binary"},
     "op3_kneser_ney": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
     "op4_voronoi_top_products": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
     "op5_concatenate_and_cut": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},

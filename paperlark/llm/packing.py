@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from paperlark.llm.bpe import END, WordBPE
 from paperlark.llm.common import bounded, shared_dir, slices, whole
 
-#: Chunks whose ids a worker keeps: some 200 bytes each.
+#: Chunks, and words of letters, whose ids a worker keeps: some 200 bytes each.
 LIBRARY_CACHED = 150_000
-PIECES_CACHED = 150_000
 #: Fixed value: signs that are neither letters, digits, spaces nor the beginning of a contraction.
 MARKS = ".,;:!?#$%&*|()[]\""
 #: Partitions whose bases, some 16 bytes each, are broadcast; beyond it they are joined.
@@ -40,6 +39,7 @@ class LibraryWords(WordBPE):
         from tokenizers import Tokenizer
 
         super().__init__(path)
+        self.cached = LIBRARY_CACHED
         self.library = Tokenizer.from_file(path)
         self.last = np.zeros(max(self.strings) + 1, bool)
         self.last[[i for s, i in self.ids.items() if s.endswith(END)]] = True
@@ -48,7 +48,7 @@ class LibraryWords(WordBPE):
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; the library is asked once for all chunks that are new. Nothing is forgotten before the last text is done."""
         known = self.chunks
-        if len(known) > LIBRARY_CACHED:
+        if len(known) > self.cached:
             known.clear()
         cut = [None if "<" in t and self.split.search(t) else self.chunks_of(t) for t in texts]
         self.learn({c for chunks in cut if chunks for c in chunks if c not in known})
@@ -58,7 +58,7 @@ class LibraryWords(WordBPE):
         """Ask the library for new chunks. A word of letters and the marks after it are apart in any text, so both are asked
         for on their own: the words many at once, as each one's last id, and no other, ends a word."""
         known, pieces = self.chunks, self.pieces
-        if len(pieces) > PIECES_CACHED:
+        if len(pieces) > self.cached:
             pieces.clear()
         ends = {c: len(c.rstrip(MARKS)) for c in new}
         ends = {c: n for c, n in ends.items() if c[:n].isalpha()}
@@ -85,9 +85,10 @@ def load(path: str) -> LibraryWords:
     return LibraryWords(path)
 
 
-def _tokenize(path: str, end_id: int):
+def _tokenize(path: str, end_id: int, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = load(path), TaskContext.get().partitionId(), 0
+        words.cached = cached
         kind = np.dtype("<u2") if len(words.ids) + len(words.special) <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
         for some in slices(batches, rows=512, size=2 << 20):  # memory holds few documents' ids at a time
             ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in words.encode_all(some.column(1).to_pylist())]
@@ -122,19 +123,19 @@ def _cut(length: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, *, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cached: int = LIBRARY_CACHED) -> DataFrame:
     """One row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A document's ids are those of the tokenizers library with the file at path, then end_id; null and empty texts have
     that one id. start counts the document's ids before the piece, offset the sequence's. Only the last sequence of all
     may be shorter than length. Repeated rows are packed each; an empty table gives no rows. Other columns of docs are
-    ignored. What pass one writes goes to the shared folder of ``spark.checkpoint.dir``.
+    ignored. cached bounds the chunks and words whose ids a worker keeps. What pass one writes goes to the shared folder of ``spark.checkpoint.dir``.
     """
     spark = docs.sparkSession
     slim = bounded(docs).select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     written = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
-    slim.mapInArrow(_tokenize(path, end_id), f"id {kind}, part int, start long, doc_tokens long, width int, ids binary").write.option("compression", "zstd").parquet(written)
+    slim.mapInArrow(_tokenize(path, end_id, cached), f"id {kind}, part int, start long, doc_tokens long, width int, ids binary").write.option("compression", "zstd").parquet(written)
     tokens = spark.read.schema(f"id {kind}, part int, start long, doc_tokens long, width int, ids binary").parquet(written)
     bases, at = [], 0
     for r in tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).orderBy("part").collect():

@@ -58,7 +58,7 @@ def op4_voronoi_top_products(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_concatenate_and_cut(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
-    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048)
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, cached=750_000)
 
 
 def op6_minhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ def library_ids(texts):
 
 @pytest.fixture()
 def small_caches(monkeypatch):
-    for module, name in ((bpe, "CACHED"), (packing, "LIBRARY_CACHED"), (packing, "PIECES_CACHED")):
+    for module, name in ((bpe, "CACHED"), (packing, "LIBRARY_CACHED")):
         monkeypatch.setattr(module, name, 50)
 
 

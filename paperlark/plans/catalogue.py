@@ -653,10 +653,10 @@ def rows_of_lines(spark, d):
 
 @query("""select * from (with after as (select *, price + case when receipt_id % 5 = 0 then 100 else 0 end - discount as final from bought where receipt_id % 7 <> 0)
     select 'product' as kind, name as key, count(*) as n, cast(sum(final) as bigint) as spent, arg_max(final, lpad(cast(purchased_at as varchar), 20, '0') || id) as last_price, max(purchased_at) as last_at, min(category) as category, min(raw_key) as raw_key from after group by name
-    union all select 'category', category, count(*), cast(sum(final) as bigint), null, null, null, null from after group by category
-    union all select 'since', category, count(*), cast(sum(final) as bigint), null, null, null, null from after where purchased_at >= 852076800000 group by category
-    union all select 'month', strftime(make_timestamp(purchased_at * 1000), '%Y-%m'), count(*), cast(sum(total) as bigint), null, null, null, null from receipts where id % 7 <> 0 group by 2
-    union all select 'saved', null, count(*), cast(sum(total_discount) as bigint), null, null, null, null from receipts where id % 7 <> 0)""")
+    union all select 'category', category, count(*), cast(sum(final) as bigint), 0, 0, null, null from after group by category
+    union all select 'since', category, count(*), cast(sum(final) as bigint), 0, 0, null, null from after where purchased_at >= 852076800000 group by category
+    union all select 'month', strftime(make_timestamp(purchased_at * 1000), '%Y-%m'), count(*), cast(sum(total) as bigint), 0, 0, null, null from receipts where id % 7 <> 0 group by 2
+    union all select 'saved', null, count(*), cast(sum(total_discount) as bigint), 0, 0, null, null from receipts where id % 7 <> 0)""")
 def live_reports(spark, d):
     """Reports kept as sums while every fifth receipt's prices are raised and every seventh receipt goes."""
     bought = A.with_receipts(S.items(spark, d), S.receipts(spark, d)).select("id", "receipt_id", "name", "raw_key", "category", "price", "discount", "purchased_at")
@@ -669,7 +669,7 @@ def live_reports(spark, d):
     change = signed(bought.where("receipt_id % 5 = 0 or receipt_id % 7 = 0"), -1).unionByName(signed(after.where("receipt_id % 5 = 0"), 1))
     write_snapshot(folder, live.fold_changes(live.read_views(spark, folder), change, signed(told.where("id % 7 = 0"), -1), after), 1)
     views = live.read_views(spark, folder)
-    none = [F.lit(None).cast(k).alias(c) for c, k in (("last_price", "long"), ("last_at", "long"), ("category", "string"), ("raw_key", "string"))]
+    none = [F.lit(x).cast(k).alias(c) for c, x, k in (("last_price", 0, "long"), ("last_at", 0, "long"), ("category", None, "string"), ("raw_key", None, "string"))]
     shown = lambda df, kind, key, n="n", spent="spent": df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(n).alias("n"), F.col(spent).alias("spent"), *none)
     products = live.live_products(views).select(F.lit("product").alias("kind"), F.col("name").alias("key"), "n", "spent", "last_price", "last_at", "category", "raw_key")
     saved = views["receipts"].agg(F.sum("n").alias("n"), F.sum("total_discount").alias("spent")).withColumn("key", F.lit(None).cast("string"))

@@ -118,8 +118,7 @@ def _said_lines(lines: DataFrame) -> DataFrame:
     blocks = copied.groupBy("doc", "block").agg(F.array_sort(F.collect_list(place)).alias("ls")).withColumn("size", F.expr(f"size(filter(ls, x -> x.n div {BLOCK} = block))"))
     text = F.transform("ls", lambda x: x["line"])
     own = F.slice(text, F.lit(1), F.col("size"))
-    seen = F.transform(own, lambda x, i: R._seen(x, F.get(text, i + 1)))
-    said = blocks.select("doc", "block", own.alias("own"), F.transform(seen, R._said).alias("xs"), F.transform(own, lambda x, i: F.array_join(F.slice(text, i + 1, F.lit(SPAN)), "\n")).alias("near"))
+    said = blocks.select("doc", "block", own.alias("own"), R.said_lines(own, text).alias("xs"), F.transform(own, lambda x, i: F.array_join(F.slice(text, i + 1, F.lit(SPAN)), "\n")).alias("near"))
     return said.withColumn("codes", F.transform("xs", _class))
 
 

@@ -125,9 +125,35 @@ def _said_lines(lines: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame, *, doc_col: str = "doc_id", line_col: str = "line_no", text_col: str = "line") -> tuple[DataFrame, DataFrame]:
     """Rows of lines -> receipts (doc_col, store .. warnings, n_items, items_sum) and items (doc_col, position, and the fields of a parsed item).
 
-    The results are those of ``receipts.parse_receipts`` on arrays of the same lines.
+    The results are those of ``receipts.parse_receipts`` on arrays of the same lines. A document whose lines are all of one block is
+    such an array, and folded as one; only longer ones go over states and blocks.
     """
     rows = lines.select(F.col(doc_col).alias("doc"), F.col(line_col).cast("long").alias("line_no"), F.col(text_col).alias("line"))
+    full = rows.where(F.col("line").rlike(r"[^\s|]"))  # what normalize_row leaves something of
+    blocks = kept(full.groupBy("doc", F.expr(f"line_no div {BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")))
+    least, most = blocks.agg(F.min("block"), F.max("block")).first()
+    if least == most:
+        return _short(blocks, doc_col)
+    long_ones = blocks.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    short, items = _short(blocks.join(long_ones, "doc", "left_anti"), doc_col)
+    long_lines = blocks.join(long_ones, "doc", "left_semi").select("doc", F.explode("ls").alias("l")).select("doc", "l.*")
+    more, more_items = _long(long_lines, doc_col)
+    return short.unionByName(more), items.unionByName(more_items)
+
+
+def _short(blocks: DataFrame, doc_col: str) -> tuple[DataFrame, DataFrame]:
+    """What ``parse_lines`` gives of documents of one block each."""
+    parsed = kept(R.parse_receipts(blocks.select(F.col("doc").alias(doc_col), F.transform("ls", lambda x: x["line"]).alias("rows"))).drop("rows"))
+    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["price"] - i["discount"])
+    receipts = parsed.select(
+        doc_col, "store", "branch", "purchased_at", "total", "subtotal", "total_discount", "payment", "receipt_number", "unique_key", F.size("items").cast("long").alias("n_items"), total.alias("items_sum"), "warnings",
+    )
+    items = parsed.select(doc_col, F.posexplode("items").alias("position", "i")).select(doc_col, F.col("position").cast("long").alias("position"), "i.*")
+    return receipts, items
+
+
+def _long(rows: DataFrame, doc_col: str) -> tuple[DataFrame, DataFrame]:
+    """What ``parse_lines`` gives of documents of any length: rows(doc, line_no, line)."""
     said = kept(_said_lines(_numbered(rows)))
     maps, counts = _tables()
     line_maps = F.transform("codes", lambda c: _of(maps, "bigint", c))

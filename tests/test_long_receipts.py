@@ -50,3 +50,11 @@ def test_many_lines_in_linear_time(spark):
         took.append(time.time() - began)
         assert (row.n_items, row.total_discount) == (-(-n // 3), 100 * (n // 3)) and items.count() == row.n_items
     assert took[1] < 5 * took[0] + 5
+
+
+def test_documents_of_one_block_need_no_states(spark, monkeypatch):
+    def states(*_):
+        raise AssertionError("a short document went over states and blocks")
+
+    monkeypatch.setattr(L, "_entries", states)
+    held(spark, {1: ["Lidl", "Chléb 10,00 B", "2 ks x 5,00", None, " | ", "K PLATBĚ: 10,00"], 2: [" ", None], 3: ["Mléko", "19,90 A"]})

@@ -181,14 +181,16 @@ def import_outcomes(outcomes: DataFrame) -> DataFrame:
 MEDIAN_SHARES, MEDIAN_FEW, MEDIAN_BINS = 10_000, 100_000, 256
 
 
-def upper_median(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+def upper_median(df: DataFrame, keys: list[str], column: str, *, weight: str | None = None) -> DataFrame:
     """Of each group the element in the upper middle of the sorted values, nulls aside; equal values are one row with a count.
+    With weight, a row stands for as many equal ones as that column says.
 
     Small groups are summed up in order. For the large ones, MEDIAN_SHARES of them at most, the range that holds the middle is
     narrowed down: all their values are counted in bins where they are, by tasks that know the groups' ranges, until one value
     is left. So no group's values meet in one task. The column is numeric; a group of nulls has a null.
     """
-    counted = df.groupBy(*keys, F.col(column).alias("_value")).agg(F.count(column).alias("_n"))
+    n = F.count(column) if weight is None else F.coalesce(F.sum(F.when(F.col(column).isNotNull(), F.col(weight))), F.lit(0))
+    counted = df.groupBy(*keys, F.col(column).alias("_value")).agg(n.alias("_n"))
     kind = counted.schema["_value"].dataType.simpleString()
     sizes = counted.groupBy(*keys).agg(F.count("_value").alias("_distinct"), F.sum("_n").alias("_all"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
     least = max(MEDIAN_FEW, (sizes.agg(F.sum("_distinct")).first()[0] or 0) // MEDIAN_SHARES)

@@ -46,12 +46,16 @@ def receipt_list(receipts: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def priced(items: DataFrame, receipts: DataFrame) -> DataFrame:
+    """The purchases with the price of a unit, in any order."""
+    return with_receipts(items, receipts).withColumns({"final_price": final_price(), "per_unit": per_unit(final_price(), F.col("quantity"))})
+
+
 def price_history(items: DataFrame, receipts: DataFrame, *, name: str | None = None, raw_key: str | None = None) -> DataFrame:
     """The purchases of one product, by name or raw key, newest first, with the price of a unit; without either, those of every product, by raw key."""
     one = name is not None or raw_key is not None
     some = items.where(F.col("name") == name) if name is not None else items.where(F.col("raw_key") == raw_key) if one else items
-    found = with_receipts(some, receipts).withColumns({"final_price": final_price(), "per_unit": per_unit(final_price(), F.col("quantity"))})
-    return found.orderBy(*([] if one else ["raw_key"]), F.desc("purchased_at"), "id")
+    return priced(some, receipts).orderBy(*([] if one else ["raw_key"]), F.desc("purchased_at"), "id")
 
 
 def raw_names(items: DataFrame) -> DataFrame:

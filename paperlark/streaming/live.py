@@ -2,7 +2,7 @@
 
 A change is given as rows before it with sign -1 and rows after it with sign 1; an edit has both. Sums and counts take in the signs.
 The newest purchase of a product is no sum: a newer row replaces it, and where the newest itself goes, that product alone is looked
-up again among all purchases. What is kept: sums by day and category, by day, and by name with the counts of its categories
+up again among all purchases; which ones these are is written to the shared folder. What is kept: sums by day and category, by day, and by name with the counts of its categories
 and raw keys, whose smallest ones the report shows. A batch costs its changes and the kept rows, whatever the number of purchases.
 
 Rows: purchases(sign, id, name, raw_key, category, price, discount, purchased_at), receipts(sign, purchased_at, total, total_discount);
@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paperlark.functions.dates import from_millis, month_of
 from paperlark.operators.analytics import final_price
+from paperlark.sources.shared import kept
 from paperlark.sources.snapshots import current, read_snapshot, write_snapshot
 
 #: What is kept: keys and sums of each view.
@@ -52,8 +53,8 @@ def _changes(purchases: DataFrame, receipts: DataFrame) -> dict[str, DataFrame]:
     return {name: told if name == "receipts" else own for name in SUMS}
 
 
-def _folded(kept: DataFrame, change: DataFrame, keys: tuple, sums: tuple) -> DataFrame:
-    both = kept.select(*keys, *sums).unionByName(change.select(*keys, *sums))
+def _folded(old: DataFrame, change: DataFrame, keys: tuple, sums: tuple) -> DataFrame:
+    both = old.select(*keys, *sums).unionByName(change.select(*keys, *sums))
     return both.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums]).where("n <> 0")
 
 
@@ -67,14 +68,15 @@ def fold_changes(views: dict[str, DataFrame], purchases: DataFrame, receipts: Da
     """The views after a change; all_purchases are those after it, read for the products only whose newest purchase went."""
     changes = _changes(purchases, receipts)
     after = {name: _folded(views[name], changes[name], keys, sums) for name, (keys, sums) in SUMS.items()}
-    # (name, id) of what goes; an edited row comes again with its new values
-    gone = purchases.where("sign < 0").select(F.col("name").alias("_n"), F.col("id").cast("string").alias("_i")).distinct()
-    hit = views["newest"].join(gone, F.expr("name <=> _n and id = _i"), "left_semi").select("name")
-    lost = hit.select(F.col("name").alias("_n"))
-    again = _newest(all_purchases.join(lost, F.expr("name <=> _n"), "left_semi"))
-    kept = views["newest"].join(lost, F.expr("name <=> _n"), "left_anti")
+    # the newest purchases that go, looked up among the changes; an edited row comes again with its new values
+    newest = views["newest"].select(F.col("name").alias("_n"), F.col("id").alias("_i"))
+    gone = purchases.where("sign < 0").select("name", F.col("id").cast("string").alias("id"))
+    lost = kept(gone.join(newest, F.expr("name <=> _n and id = _i")).select("_n").distinct())
+    # all purchases are read only where a product lost its newest one
+    again = views["newest"].limit(0) if lost.isEmpty() else _newest(all_purchases.join(lost, F.expr("name <=> _n"), "left_semi"))
+    stays = views["newest"].join(lost, F.expr("name <=> _n"), "left_anti")
     new = _newest(purchases.where("sign > 0"))
-    every = kept.unionByName(again).unionByName(new)
+    every = stays.unionByName(again).unionByName(new)
     newest = every.groupBy("name").agg(F.max(F.struct("at", "id", "price")).alias("x")).select("name", "x.*")
     return after | {"newest": newest}
 

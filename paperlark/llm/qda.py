@@ -12,6 +12,7 @@ Scoring is independent by row and fitting sends the sampled ids to the documents
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,17 +116,28 @@ def make_qda(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, to_pool
     return QDA(means, np.array(factors), np.array(log_dets), np.log(shares), tempered)
 
 
-def fit_qda(labelled: DataFrame, *, vector_col: str = "statistics", label_col: str = "quality", to_pooled: float = 0.1, to_diagonal: float = 0.05, tempered: float = 0.5) -> QDA | None:
+def stacked(vectors: pd.Series) -> np.ndarray:
+    """A batch's vectors as rows of a matrix."""
+    return np.array(vectors.tolist(), "float64").reshape(-1, len(STATISTICS))
+
+
+def of_texts(texts: pd.Series) -> np.ndarray:
+    """The vectors of STATISTICS of a batch's texts as rows of a matrix."""
+    return np.array([statistics(t) for t in texts], "float64").reshape(-1, len(STATISTICS))
+
+
+def fit_qda(labelled: DataFrame, *, vector_col: str = "statistics", label_col: str = "quality", vectors: Callable[[pd.Series], np.ndarray] = stacked, to_pooled: float = 0.1, to_diagonal: float = 0.05, tempered: float = 0.5) -> QDA | None:
     """Learn from rows with a vector and a label 0 or 1, all of them; other labels and null ones are left out.
 
-    None where a class has no rows: then there is nothing to tell apart.
+    vectors makes the matrix of a batch of vector_col, which may hold texts (of_texts). None where a class has no rows: then
+    there is nothing to tell apart.
     """
     d = len(STATISTICS)
 
     def gather(frames):
         n, s, p = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for frame in frames:
-            x, y = np.array(frame.x.tolist(), "float64").reshape(-1, d), frame.y.to_numpy()
+            x, y = vectors(frame.x), frame.y.to_numpy()
             for k in range(2):
                 own = x[y == k]
                 n[k] += len(own)
@@ -152,7 +164,7 @@ def quality_score(vector: Column, model: QDA | None, spark) -> Column:
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
-        return pd.Series(told.value.scores(np.array(x.tolist(), "float64").reshape(-1, len(STATISTICS))))
+        return pd.Series(told.value.scores(stacked(x)))
 
     return score(vector)
 
@@ -169,8 +181,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.orderBy(F.xxhash64("id"), "id", "label").limit(sample)  # so few rows may be broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")
-    return fit_qda(with_statistics(rows), label_col="label", **shrinkage)
+    rows = bounded(docs).select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(marks), "id")
+    # statistics and sums in one pass: of two, each task would take two workers, and an executor keeps its workers to the end
+    return fit_qda(rows, vector_col="text", label_col="label", vectors=of_texts, **shrinkage)
 
 
 def score_quality(docs: DataFrame, model: QDA | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

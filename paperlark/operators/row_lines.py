@@ -32,10 +32,11 @@ TASK_WORDS = 2_000_000
 _LARGEST = float(np.finfo(np.float32).max)
 
 
-def turned_words(words: DataFrame, blanks: str = BLANKS) -> tuple[DataFrame, DataFrame]:
+def turned_words(words: DataFrame, blanks: str = BLANKS, told_of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """words(doc_id, seq, text, left, top, right, bottom, angle) -> doc_id, seq, text, x, y, near: turned by the document's slant, in
     single precision, with half its usual height, each document's in one partition; and the documents (doc_id, usual), of which
-    those without a usable word have a null."""
+    those without a usable word have a null. The columns of told_of besides its doc_id follow in both."""
+    more = [c for c in told_of.columns if c != "doc_id"] if told_of is not None else []
     single = lambda c: c.cast("float")
     within = lambda c: F.greatest(F.least(c, single(F.lit(_LARGEST))), single(F.lit(-_LARGEST)))
     place = lambda c: within(F.coalesce(F.nanvl(single(F.col(c)), single(F.lit(0))), single(F.lit(0)))).alias(c)
@@ -46,9 +47,12 @@ def turned_words(words: DataFrame, blanks: str = BLANKS) -> tuple[DataFrame, Dat
     sizes = kept(sizes.groupBy("doc_id", "h", "a").agg(F.count("*").alias("n")))
     slants = upper_median(sizes, ["doc_id"], "a", weight="n").select(F.col("doc_id").alias("_d"), F.col("upper_median").alias("slant"))
     usual = upper_median(sizes, ["doc_id"], "h", weight="n").withColumnRenamed("upper_median", "usual")
-    docs = kept(usual.join(slants, F.expr("doc_id <=> _d")).select("doc_id", "usual", "slant"))
+    docs = usual.join(slants, F.expr("doc_id <=> _d")).drop("_d")
+    if told_of is not None:
+        docs = docs.join(told_of.withColumnRenamed("doc_id", "_d"), F.expr("doc_id <=> _d"), "left")
+    docs = kept(docs.select("doc_id", "usual", "slant", *more))
     turn = F.radians(-F.coalesce("slant", F.lit(0.0)).cast("double"))
-    told = docs.select(F.col("doc_id").alias("_d"), single(F.col("usual") * single(F.lit(0.5))).alias("near"), single(F.cos(turn)).alias("c"), single(F.sin(turn)).alias("s"))
+    told = docs.select(F.col("doc_id").alias("_d"), single(F.col("usual") * single(F.lit(0.5))).alias("near"), single(F.cos(turn)).alias("c"), single(F.sin(turn)).alias("s"), *more)
     # words of no document are one document: the join does not find them
     none = told.where("_d is null").select("near", "c", "s").first() or (None, None, None)
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -60,7 +64,7 @@ def turned_words(words: DataFrame, blanks: str = BLANKS) -> tuple[DataFrame, Dat
     found = dealt.join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("_d"), "left")
     near, c, s = (F.coalesce(F.col(k), single(F.lit(v))) for k, v in zip(("near", "c", "s"), none))
     x, y = single(F.col("cx") * c) - single(F.col("cy") * s), single(F.col("cx") * s) + single(F.col("cy") * c)
-    return found.select("doc_id", "seq", "text", single(x).alias("x"), single(y).alias("y"), near.alias("near")), docs.select("doc_id", "usual")
+    return found.select("doc_id", "seq", "text", single(x).alias("x"), single(y).alias("y"), near.alias("near"), *more), docs.select("doc_id", "usual", *more)
 
 
 def _joining(ys: np.ndarray, near: np.float32, total: float, n: int) -> tuple[int, float, int]:
@@ -93,22 +97,23 @@ def _lines(texts: pa.Array, xs: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words by document and height -> doc_id, line_no, line, in order."""
-    names, open_ = ["doc_id", "line_no", "line"], None  # the open row: document, number, first height, sum, words, all near the first; texts, xs
+    """Words by document and height -> doc_id, line_no, line and what else is told of a document, in order."""
+    names, open_ = ["doc_id", "line_no", "line"], None  # the open row: document and what is told of it, number, first height, sum, words, all near the first; texts, xs
 
     def closed() -> pa.RecordBatch:
         line = _lines(pa.concat_arrays(open_[6]), np.concatenate(open_[7]), np.zeros(1, np.int64))
-        return pa.RecordBatch.from_arrays([open_[0], pa.array([open_[1]], pa.int32()), line], names)
+        return pa.RecordBatch.from_arrays([open_[0][0], pa.array([open_[1]], pa.int32()), line, *open_[0][1:]], names)
 
     for batch in batches:
         if not (n := batch.num_rows):
             continue
-        docs, texts = batch.column(0), batch.column(2)
+        docs, texts, others = batch.column(0), batch.column(2), batch.columns[6:]
+        names[3:] = batch.schema.names[6:]
         xs, ys, near = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
         ends = pc.run_end_encode(docs).run_ends.to_numpy()
         other = np.zeros(n, bool)
         other[ends[:-1]] = True
-        other[0] = open_ is None or open_[0][0].as_py() != docs[0].as_py()
+        other[0] = open_ is None or open_[0][0][0].as_py() != docs[0].as_py()
         at, number = 0, 0
         if open_ is not None:
             if not other[0]:
@@ -137,17 +142,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last > at:
             firsts = starts[:-1]
             lines = _lines(texts.slice(at, last - at), xs[at:last], firsts - at)
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(firsts)), pa.array(numbers[:-1], pa.int32()), lines], names)
+            doc, *of = (c.take(pa.array(firsts)) for c in (docs, *others))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(numbers[:-1], pa.int32()), lines, *of], names)
         own = ys[last:]
-        open_ = [docs.slice(last, 1), int(numbers[-1]), own[0], float(own.sum(dtype="float64")), n - last, bool(own[-1] - own[0] <= near[last]), [texts.slice(last)], [xs[last:]]]
+        open_ = [[c.slice(last, 1) for c in (docs, *others)], int(numbers[-1]), own[0], float(own.sum(dtype="float64")), n - last, bool(own[-1] - own[0] <= near[last]), [texts.slice(last)], [xs[last:]]]
     if open_ is not None:
         yield closed()
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words by document and height -> doc_id, rows: a document's lines, all of them."""
+    """Words by document and height -> doc_id, rows and what else is told of it: a document's lines, all of them."""
     doc, lines = None, []
     for batch in _cut(batches):
+        told = pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:]], ["doc_id", *batch.schema.names[3:]])
         firsts = np.flatnonzero(batch.column(1).to_numpy() == 0)
         to = int(firsts[0]) if len(firsts) else batch.num_rows
         lines.append(batch.column(2).slice(0, to))
@@ -157,25 +164,31 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if doc is not None:
             yield _listed(doc, [0], pa.concat_arrays(lines))
         if len(firsts) > 1:
-            yield _listed(batch.column(0).take(pa.array(firsts[:-1])), firsts[:-1] - to, batch.column(2).slice(to, int(firsts[-1]) - to))
-        doc, lines = batch.column(0).slice(int(firsts[-1]), 1), [batch.column(2).slice(int(firsts[-1]))]
+            yield _listed(told.take(pa.array(firsts[:-1])), firsts[:-1] - to, batch.column(2).slice(to, int(firsts[-1]) - to))
+        doc, lines = told.slice(int(firsts[-1]), 1), [batch.column(2).slice(int(firsts[-1]))]
     if doc is not None:
         yield _listed(doc, [0], pa.concat_arrays(lines))
 
 
-def _listed(docs: pa.Array, firsts: list[int] | np.ndarray, lines: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([docs, pa.ListArray.from_arrays(pa.array(np.append(firsts, len(lines)), pa.int32()), lines)], ["doc_id", "rows"])
+def _listed(docs: pa.RecordBatch, firsts: list[int] | np.ndarray, lines: pa.Array) -> pa.RecordBatch:
+    rows = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(lines)), pa.int32()), lines)
+    return pa.RecordBatch.from_arrays([docs.column(0), rows, *docs.columns[1:]], ["doc_id", "rows", *docs.schema.names[1:]])
 
 
-def row_lines(words: DataFrame) -> DataFrame:
-    """words(doc_id, seq, text, left, top, right, bottom, angle) -> doc_id, line_no, line: the rows of each document, top to bottom."""
-    turned, _ = turned_words(words)
-    return turned.sortWithinPartitions("doc_id", "y", "seq").mapInArrow(_cut, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, line_no int, line string")
+def _schema(words: DataFrame, made: str, turned: DataFrame) -> str:
+    return ", ".join([f"doc_id {words.schema['doc_id'].dataType.simpleString()}", made, *[f"`{f.name}` {f.dataType.simpleString()}" for f in turned.schema.fields[6:]]])
 
 
-def row_arrays(words: DataFrame, blanks: str = BLANKS) -> DataFrame:
+def row_lines(words: DataFrame, told_of: DataFrame | None = None) -> DataFrame:
+    """words(doc_id, seq, text, left, top, right, bottom, angle) -> doc_id, line_no, line: the rows of each document, top to bottom.
+    told_of: one row a doc_id, whose other columns come with the lines."""
+    turned, _ = turned_words(words, told_of=told_of)
+    return turned.sortWithinPartitions("doc_id", "y", "seq").mapInArrow(_cut, _schema(words, "line_no int, line string", turned))
+
+
+def row_arrays(words: DataFrame, blanks: str = BLANKS, told_of: DataFrame | None = None) -> DataFrame:
     """words(doc_id, seq, text, left, top, right, bottom, angle) -> doc_id, rows: each document's rows as one array, top to bottom; an
-    empty one where no word counts."""
-    turned, docs = turned_words(words, blanks)
-    found = turned.sortWithinPartitions("doc_id", "y", "seq").mapInArrow(_whole, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, rows array<string>")
-    return found.unionByName(docs.where("usual is null").select("doc_id", F.array().cast("array<string>").alias("rows")))
+    empty one where no word counts. told_of: one row a doc_id, whose other columns come with the rows."""
+    turned, docs = turned_words(words, blanks, told_of)
+    found = turned.sortWithinPartitions("doc_id", "y", "seq").mapInArrow(_whole, _schema(words, "rows array<string>", turned))
+    return found.unionByName(docs.where("usual is null").withColumn("rows", F.array().cast("array<string>")).drop("usual"))
